@@ -20,6 +20,14 @@ PART, POS = "_part", "_pos"
 _LOCAL = (1 << 33) - 1
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it is seen to have at most ``most`` rows; else as it is, for a shuffled join.
+
+    The count runs first and stops at ``most + 1`` rows, so ``df`` should be cheap or written.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality of ``keys``."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
@@ -47,15 +55,17 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "position", parts
     return out.withColumn(name, F.col("_before") + F.col(POS) + 1).drop(PART, POS, "_before")
 
 
-def cumulative_frequencies(df: DataFrame, groups: Sequence[str], value: str, descending: bool = False, parts: int | None = None) -> DataFrame:
+def cumulative_frequencies(df: DataFrame, groups: Sequence[str], value: str, descending: bool = False, parts: int | None = None, weight: str | None = None) -> DataFrame:
     """Distinct values per group with running counts: ``groups, value, n, before, upto, total``.
 
+    With ``weight``, a row counts that often instead of once.
+
     ``n`` rows have the value, ``before`` rows of the group come earlier in the order, ``upto`` = before + n.
     Equal values are counted before the shuffle, so ties cost nothing; the distinct values are range-sorted by
     (group, value), and the windows run inside one (group, range partition) or over one row per range partition.
     Rows with a null value are left out, as in aggregates.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     by = F.col(value).desc() if descending else F.col(value).asc()
     rows = range_sorted(counted, [*[F.col(g).asc() for g in groups], by], parts).drop(POS)
     sizes = rows.groupBy(*groups, PART).agg(F.sum("n").alias("_size"))
