@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.clean import day, once
 from lodestream.functions.text import token_count
-from lodestream.llm import cutoffs, mixing, packing, quantiles, ranking
+from lodestream.llm import cutoffs, mixing, packing, quantiles, ranking, spans
 from lodestream.plans.registry import Registry, table
 from lodestream.scratch import written
 
@@ -154,3 +154,16 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @add("p9_shares")
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
+
+
+@add("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pairs = spans.shared_pairs(docs, "doc_id", "text", _limit(spark, folder, "min_span_chars"))
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+@add("p10_shared")
+def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spans.shared_parts(docs, "doc_id", "text", _limit(spark, folder, "min_span_chars"))
