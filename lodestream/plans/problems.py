@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions.clean import day
-from lodestream.operators import balance, trailing
+from lodestream.functions.clean import day, hour
+from lodestream.operators import balance, fill, trailing
 from lodestream.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -122,3 +122,38 @@ def p7_trailing(spark: SparkSession, folder: str) -> DataFrame:
     # Rounded for the comparison with SQL; means are moved off the ties, which the order of summing would decide.
     shown = lambda c: F.round(c, 6) if "_total_" in c else F.round(F.col(c) + 1e-9, 6) if "mean_7" in c or "mean_30" in c else F.col(c)
     return rows.select(*[shown(c).alias(c) for c in rows.columns])
+
+
+def _fields() -> list[fill.Field]:
+    """A value is missing if null or NaN, below zero in the times, not positive in app_id; a mean takes times up to a day."""
+    time = lambda c: F.coalesce(F.isnan(c) | (F.col(c) < 0), F.lit(True))
+    keys = [("device_id",), ("_day", "_hour"), ("device_id", "session_count")]
+    groups = [("device_id",), ("app_id", "_hour"), ("app_id",), ()]
+    return [
+        fill.Field("app_id", F.coalesce(F.col("app_id") <= 0, F.lit(True)), [("device_id",), ("_day", "_hour"), ("_hour",)], [("_day", "_hour"), ()]),
+        fill.Field("session_time", time("session_time"), keys, groups, True, 0.0, 86400.0),
+        fill.Field("expanding_mean_session_time", time("expanding_mean_session_time"), keys, groups, True, 0.0, 86400.0),
+    ]
+
+
+def _filled(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "hourly_features").select("feature_id", "app_id", "device_id", "session_count", "session_time", "expanding_mean_session_time", day().alias("_day"), hour().alias("_hour"))
+    return fill.filled(rows, _fields())
+
+
+@add(
+    "p3_found",
+    """SELECT DISTINCT feature_id, field FROM (SELECT feature_id, unnest([CASE WHEN app_id IS NULL OR app_id <= 0 THEN 'app_id' END,
+    CASE WHEN session_time IS NULL OR isnan(session_time) OR session_time < 0 THEN 'session_time' END,
+    CASE WHEN expanding_mean_session_time IS NULL OR isnan(expanding_mean_session_time) OR expanding_mean_session_time < 0 THEN 'expanding_mean_session_time' END]) AS field
+    FROM hourly_features) WHERE field IS NOT NULL""",
+)
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _filled(spark, folder)
+    marks = F.array(*[F.when(F.col(f"{f.name}_from").isNotNull(), F.lit(f.name)) for f in _fields()])
+    return rows.select("feature_id", F.explode(marks).alias("field")).where(F.col("field").isNotNull()).distinct()
+
+
+@add("p3_filled")
+def p3_filled(spark: SparkSession, folder: str) -> DataFrame:
+    return _filled(spark, folder).withColumnsRenamed({"_day": "day", "_hour": "hour"})
