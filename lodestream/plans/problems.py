@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.clean import day, hour
-from lodestream.operators import balance, fill, trailing
+from lodestream.operators import balance, fill, spikes, trailing
 from lodestream.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -70,6 +70,25 @@ def p2_history_join(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("device_id").agg(F.count("*").alias("rows"), F.count(F.when(long, 1)).alias("long_rows"))
 
 
+READINGS = [spikes.Reading("session_count"), spikes.Reading("session_time", high=86400.0, absent_below=0.0), spikes.Reading("max_zero_bytes_Count")]
+
+
+def _flagged(spark: SparkSession, folder: str) -> DataFrame:
+    hours = F.datediff("_day", F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.col("_hour")
+    rows = table(spark, folder, "hourly_features").select("feature_id", "device_id", day().alias("_day"), hour().alias("_hour"), *[f.name for f in READINGS])
+    return spikes.flagged(rows.withColumn("_t", hours), "feature_id", "device_id", "_t", READINGS)
+
+
+@add("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _flagged(spark, folder).where(F.col("reason").isNotNull()).select(F.col("id").alias("feature_id"), "field")
+
+
+@add("p6_flagged")
+def p6_flagged(spark: SparkSession, folder: str) -> DataFrame:
+    return _flagged(spark, folder).withColumnsRenamed({"id": "feature_id", "entity": "device_id"})
+
+
 def _trailing(spark: SparkSession, folder: str, measures: list[str]) -> DataFrame:
     rows = table(spark, folder, "hourly_features").withColumn("_day", day())
     return trailing.trailing_totals(rows, "device_id", "_day", measures, [7, 30], "feature_id")
