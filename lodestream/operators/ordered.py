@@ -7,7 +7,7 @@ position in its group is the offset of its partition plus its position inside it
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,3 +79,23 @@ def cumulative_frequencies(df: DataFrame, groups: Sequence[str], value: str, des
     out = run.join(offsets, same(run, offsets, [*groups, PART]))
     upto = F.col("_before") + F.col("_run")
     return out.select(*[run[g] for g in groups], run[value], "n", (upto - F.col("n")).alias("before"), upto.alias("upto"), "total")
+
+
+def interpolated(df: DataFrame, groups: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:
+    """``groups, readings`` and per name of ``points`` the exact quantile, linear between the two neighbouring order statistics.
+
+    Null values are left out. The sort is distributed; the aggregate picks two values per point in each group.
+    """
+    rows = cumulative_frequencies(df, groups, value)
+    last = F.col("total") - 1
+    stats = []
+    for k, q in enumerate(points.values()):
+        at = F.floor(last * F.lit(float(q)))
+        for side, rank in (("lo", at), ("hi", F.least(at + 1, last))):
+            stats.append(F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), F.col(value))).alias(f"_{side}{k}"))
+    found = rows.groupBy(*groups).agg(F.max("total").alias("readings"), *stats)
+    out = []
+    for k, (name, q) in enumerate(points.items()):
+        at = (F.col("readings") - 1) * F.lit(float(q))
+        out.append((F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (at - F.floor(at))).alias(name))
+    return found.select(*groups, "readings", *out)

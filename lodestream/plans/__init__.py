@@ -7,6 +7,6 @@ from lodestream.plans.registry import Registry
 
 def registries() -> list[Registry]:
     """The registries of the core, in the order in which queries are listed."""
-    from lodestream.plans import problems
+    from lodestream.plans import hours, problems
 
-    return [problems.REGISTRY]
+    return [problems.REGISTRY, hours.REGISTRY]
