@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions.clean import finite
-from lodestream.operators.ordered import cumulative_frequencies
+from lodestream.operators.ordered import cumulative_frequencies, interpolated
 
 
 def melted(df: DataFrame, groups: Sequence[str], values: Sequence[str], name: str = "field") -> DataFrame:
@@ -30,19 +30,7 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, points: Mapping[
     Null, NaN and infinite values are left out; a group without values has no row; null group keys are groups; ties and
     repeated rows count as often as they occur.
     """
-    rows = cumulative_frequencies(df.select(*groups, finite(F.col(value)).alias("_v")), groups, "_v")
-    last = F.col("total") - 1
-    stats = []
-    for k, q in enumerate(points.values()):
-        at = F.floor(last * F.lit(float(q)))
-        for side, rank in (("lo", at), ("hi", F.least(at + 1, last))):
-            stats.append(F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), F.col("_v"))).alias(f"_{side}{k}"))
-    found = rows.groupBy(*groups).agg(F.max("total").alias("readings"), *stats)
-    out = []
-    for k, (name, q) in enumerate(points.items()):
-        at = (F.col("readings") - 1) * F.lit(float(q))
-        out.append((F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (at - F.floor(at))).alias(name))
-    return found.select(*groups, "readings", *out)
+    return interpolated(df.select(*groups, finite(F.col(value)).alias("_v")), groups, "_v", points)
 
 
 def summary(df: DataFrame, groups: Sequence[str], value: str, error: float) -> DataFrame:
