@@ -1,11 +1,15 @@
-"""Isolation forests in numpy: many small trees, built and read level by level without recursion.
+"""Isolation forests in numpy: many small trees of many sources, built and read level by level without recursion.
 
 A tree is a complete binary heap of ``depth`` levels; a node that isolates its sample early sends everything left with a
-path length that no longer grows. Score: 2 ** -(mean path / c(sample)), in (0, 1], higher is more unusual.
+path length that no longer grows. Score: 2 ** -(mean path / c(sample)), in (0, 1], higher is more unusual. The random
+numbers come from one table per seed, so a sample gives the same trees whichever others it is built with.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -16,51 +20,22 @@ def usual_path(n: np.ndarray | int) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, out))
 
 
+@lru_cache(maxsize=8)
+def _table(seed: int, what: int, shape: tuple[int, ...]) -> np.ndarray:
+    return np.random.default_rng([seed, what]).random(shape)
+
+
 class Forest:
-    """Trees over a sample of shape (rows, features); the same sample and seed give the same trees."""
+    """Trees over one sample, made by :func:`grown`."""
 
-    def __init__(self, sample: np.ndarray, trees: int = 16, rows: int = 32, seed: int = 0) -> None:
-        rng = np.random.default_rng(seed)
-        sample = np.asarray(sample, float)
-        n, width = sample.shape
-        m = min(rows, n)
-        self.rows, self.depth = m, max(1, int(np.ceil(np.log2(max(m, 2)))))
-        pick = np.argsort(rng.random((trees, n)), axis=1)[:, :m] if n > m else np.broadcast_to(np.arange(n), (trees, n))
-        x = sample[pick]  # tree, row, feature
-        slots = 1 << self.depth
-        self.feature = np.zeros((trees, slots), np.int64)
-        self.cut = np.full((trees, slots), np.inf)
-        path = np.full((trees, 2 * slots), -1.0)
-        node = np.ones((trees, m), np.int64)
-        tree = np.arange(trees)[:, None]
-        for level in range(self.depth):
-            width_now = 1 << level
-            flat = (tree * width_now + node - width_now).ravel()
-            low, high = np.full((trees * width_now, width), np.inf), np.full((trees * width_now, width), -np.inf)
-            np.minimum.at(low, flat, x.reshape(-1, width))
-            np.maximum.at(high, flat, x.reshape(-1, width))
-            size = np.bincount(flat, minlength=trees * width_now)
-            spread = high > low
-            f = np.argmax(np.where(spread, rng.random(spread.shape), -1.0), axis=1)  # one feature that still varies
-            at = np.arange(len(f))
-            split = spread[at, f] & (size > 1)
-            with np.errstate(invalid="ignore"):
-                cut = low[at, f] + rng.random(len(f)) * (high[at, f] - low[at, f])
-            nodes = slice(width_now, 2 * width_now)
-            known = path[:, nodes].ravel()
-            known = np.where((known < 0) & ~split, level + usual_path(size), known)
-            path[:, 2 * width_now : 4 * width_now] = np.repeat(known, 2).reshape(trees, -1)
-            self.feature[:, nodes] = f.reshape(trees, -1)
-            self.cut[:, nodes] = np.where(split, cut, np.inf).reshape(trees, -1)
-            right = np.take_along_axis(x, self.feature[tree, node][:, :, None], 2)[:, :, 0] >= self.cut[tree, node]
-            node = 2 * node + right
-        flat = (tree * slots + node - slots).ravel()
-        last = self.depth + usual_path(np.bincount(flat, minlength=trees * slots).reshape(trees, -1))
-        ends = path[:, slots : 2 * slots]
-        self.path = np.where(ends < 0, last, ends)
+    def __init__(self, feature: np.ndarray, cut: np.ndarray, path: np.ndarray, rows: int) -> None:
+        self.feature, self.cut, self.path, self.rows = feature, cut, path, rows
+        self.depth = int(np.log2(cut.shape[1]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """A score per row of ``x``."""
+        """A score per row of ``x``; 0.5 if the sample had one row only."""
+        if self.rows < 2:
+            return np.full(len(x), 0.5)
         x = np.ascontiguousarray(x, float)
         trees, slots = self.cut.shape
         base = np.arange(trees)[:, None] * slots
@@ -71,4 +46,54 @@ class Forest:
             at = base + node
             node = 2 * node + (flat[cell + feature[at]] >= cut[at])
         mean = self.path.ravel()[base + node - slots].mean(axis=0)
-        return np.exp2(-mean / max(float(usual_path(self.rows)), 1e-9)) if self.rows > 1 else np.full(len(x), 0.5)
+        return np.exp2(-mean / max(float(usual_path(self.rows)), 1e-9))
+
+
+def grown(samples: Sequence[np.ndarray], trees: int = 16, rows: int = 32, seed: int = 0) -> list[Forest]:
+    """A forest per sample (rows by features, no NaN); each tree sees up to ``rows`` of the sample's rows. All are built together."""
+    if not samples:
+        return []
+    width, many = samples[0].shape[1], np.array([len(s) for s in samples])
+    used, deepest, longest = np.minimum(rows, many), max(1, int(np.ceil(np.log2(max(rows, 2))))), int(many.max())
+    x = np.full((len(samples), longest, width), np.nan)
+    for i, s in enumerate(samples):
+        x[i, : len(s)] = s
+    keys = np.where(np.arange(longest)[None, None] < many[:, None, None], _table(seed, 0, (trees, longest))[None], 2.0)
+    pick = np.argsort(keys, axis=2)[:, :, : min(rows, longest)]
+    x = x[np.arange(len(samples))[:, None, None], pick]  # forest, tree, row, feature
+    x[np.broadcast_to(np.arange(x.shape[2])[None, None] >= used[:, None, None], x.shape[:3])] = np.nan
+    count = len(samples) * trees
+    x = x.reshape(count, -1, width)
+    real = ~np.isnan(x[:, :, 0])
+    slots, tree = 1 << deepest, np.arange(count)[:, None]
+    feature, cut, path = np.zeros((count, slots), np.int64), np.full((count, slots), np.inf), np.full((count, 2 * slots), -1.0)
+    node = np.ones(x.shape[:2], np.int64)
+    for level in range(deepest):
+        now = 1 << level
+        order = np.argsort(node, axis=1, kind="stable")
+        flat = (tree * now + np.take_along_axis(node, order, 1) - now).ravel()
+        sorted_x = np.take_along_axis(x, order[:, :, None], 1).reshape(-1, width)
+        start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        low, high = np.full((count * now, width), np.nan), np.full((count * now, width), np.nan)
+        size = np.zeros(count * now, np.int64)
+        low[flat[start]], high[flat[start]] = np.fmin.reduceat(sorted_x, start), np.fmax.reduceat(sorted_x, start)
+        size[flat[start]] = np.add.reduceat(np.take_along_axis(real, order, 1).ravel().astype(np.int64), start)
+        spread = high > low
+        choice = np.tile(_table(seed, 2 * level + 1, (trees, now, width)), (len(samples), 1, 1)).reshape(-1, width)
+        f = np.argmax(np.where(spread, choice, -1.0), axis=1)  # one feature that still varies
+        at = np.arange(len(f))
+        split = spread[at, f] & (size > 1)
+        place = np.tile(_table(seed, 2 * level + 2, (trees, now)), (len(samples), 1)).ravel()
+        with np.errstate(invalid="ignore"):
+            value = low[at, f] + place * (high[at, f] - low[at, f])
+        nodes = slice(now, 2 * now)
+        known = path[:, nodes].ravel()
+        known = np.where((known < 0) & ~split, level + usual_path(size), known)
+        path[:, 2 * now : 4 * now] = np.repeat(known, 2).reshape(count, -1)
+        feature[:, nodes], cut[:, nodes] = f.reshape(count, -1), np.where(split, value, np.inf).reshape(count, -1)
+        right = np.take_along_axis(x, feature[tree, node][:, :, None], 2)[:, :, 0] >= cut[tree, node]
+        node = 2 * node + right
+    ends, left = path[:, slots:], np.bincount((tree * slots + node - slots).ravel(), weights=real.ravel(), minlength=count * slots)
+    path = np.where(ends < 0, deepest + usual_path(left.reshape(count, -1)), ends)
+    cut_of = lambda a: a.reshape(len(samples), trees, slots)
+    return [Forest(*parts, int(n)) for *parts, n in zip(cut_of(feature), cut_of(cut), cut_of(path), used, strict=True)]
