@@ -31,4 +31,4 @@ def number(column: str) -> Column:
 def once(df: DataFrame, key: str) -> DataFrame:
     """One row per non-null ``key`` (repeats are equal by contract, so any will do); rows without a key all stay."""
     alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
-    return df.withColumn("_alone", alone).dropDuplicates([key, "_alone"]).drop("_alone")
+    return df.withColumn("__lode_alone", alone).dropDuplicates([key, "__lode_alone"]).drop("__lode_alone")

@@ -25,7 +25,7 @@ from lodestream.operators.ordered import same
 from lodestream.scratch import written
 from lodestream.session import tasks as default_tasks
 
-TASK = "_task"
+TASK = "__lode_task"
 BUCKETS = 16
 #: Split keys go to the cluster as a broadcast table of at most tasks / split rows; this is the default share.
 SPLIT = 0.25
@@ -57,24 +57,24 @@ def pack(weights: Sequence[float], tasks: int) -> tuple[list[int], list[float]]:
 def plan(df: DataFrame, key: str, tasks: int | None = None, split: float = SPLIT) -> Plan:
     """Shards, buckets and tasks for the rows of ``df`` by ``key``. Null is a key like any other."""
     spark, n = df.sparkSession, tasks or default_tasks(df.sparkSession)
-    loads = written(df.groupBy(key).agg(F.count("*").alias("_rows")), "loads")
-    rows = loads.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    loads = written(df.groupBy(key).agg(F.count("*").alias("__lode_rows")), "loads")
+    rows = loads.agg(F.coalesce(F.sum("__lode_rows"), F.lit(0))).first()[0]
     limit = max(1.0, split * rows / n)
-    large = loads.where(F.col("_rows") > limit).collect()  # fewer than tasks / split
-    bucket = F.pmod(F.hash(key), F.lit(n * BUCKETS)).alias("_bucket")
-    small = loads.where(F.col("_rows") <= limit).groupBy(bucket).agg(F.sum("_rows").alias("_rows")).collect()  # at most tasks * BUCKETS
+    large = loads.where(F.col("__lode_rows") > limit).collect()  # fewer than tasks / split
+    bucket = F.pmod(F.hash(key), F.lit(n * BUCKETS)).alias("__lode_bucket")
+    small = loads.where(F.col("__lode_rows") <= limit).groupBy(bucket).agg(F.sum("__lode_rows").alias("__lode_rows")).collect()  # at most tasks * BUCKETS
     weights, owner = [0.0] * (n * BUCKETS), []
     for r in small:
-        weights[r["_bucket"]] = float(r["_rows"])
+        weights[r["__lode_bucket"]] = float(r["__lode_rows"])
     for i, r in enumerate(large):
-        shards = min(n, -(-r["_rows"] // int(max(1, limit))))
-        weights += [r["_rows"] / shards] * shards
+        shards = min(n, -(-r["__lode_rows"] // int(max(1, limit))))
+        weights += [r["__lode_rows"] / shards] * shards
         owner += [i] * shards
     at, planned = pack(weights, n)
     places: list[list[int]] = [[] for _ in large]
     for i, t in zip(owner, at[n * BUCKETS :], strict=True):
         places[i].append(t)
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("_tasks", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("__lode_tasks", T.ArrayType(T.IntegerType()))])
     heavy = spark.createDataFrame([(r[key], p) for r, p in zip(large, places, strict=True)], schema)
     return Plan(key, n, heavy, tuple(at[: n * BUCKETS]), tuple(planned), rows)
 
@@ -84,24 +84,24 @@ def _bucket_task(p: Plan) -> Column:
 
 
 def fragments(df: DataFrame, p: Plan, keep_together: Sequence[str] = (), move: bool = True) -> DataFrame:
-    """``df`` with ``_task``, each row moved there. A split key's rows are dealt evenly, or by a hash of
+    """``df`` with ``__lode_task``, each row moved there. A split key's rows are dealt evenly, or by a hash of
     ``keep_together`` where equal values have to meet (distinct counts)."""
     salt = F.xxhash64(*keep_together) if keep_together else F.monotonically_increasing_id()
-    rows = df.withColumn("_salt", salt)
-    heavy = F.broadcast(p.heavy.withColumnRenamed(p.key, "_heavy"))  # at most tasks / split rows
-    rows = rows.join(heavy, rows[p.key].eqNullSafe(heavy["_heavy"]), "left")
-    shard = F.pmod(F.col("_salt"), F.size("_tasks").cast("long")).cast("int")
-    rows = rows.withColumn(TASK, F.when(F.col("_tasks").isNull(), _bucket_task(p)).otherwise(F.col("_tasks")[shard]))
-    rows = rows.drop("_salt", "_tasks", "_heavy")
+    rows = df.withColumn("__lode_salt", salt)
+    heavy = F.broadcast(p.heavy.withColumnRenamed(p.key, "__lode_heavy"))  # at most tasks / split rows
+    rows = rows.join(heavy, rows[p.key].eqNullSafe(heavy["__lode_heavy"]), "left")
+    shard = F.pmod(F.col("__lode_salt"), F.size("__lode_tasks").cast("long")).cast("int")
+    rows = rows.withColumn(TASK, F.when(F.col("__lode_tasks").isNull(), _bucket_task(p)).otherwise(F.col("__lode_tasks")[shard]))
+    rows = rows.drop("__lode_salt", "__lode_tasks", "__lode_heavy")
     return rows.repartitionById(p.tasks, F.col(TASK)) if move else rows
 
 
 def replicas(match: DataFrame, p: Plan) -> DataFrame:
     """``match`` once for each task that holds rows of its key: once for most keys, per shard for split ones."""
-    heavy = F.broadcast(p.heavy.withColumnRenamed(p.key, "_heavy"))
-    rows = match.join(heavy, match[p.key].eqNullSafe(heavy["_heavy"]), "left")
-    where = F.coalesce(F.array_distinct("_tasks"), F.array(_bucket_task(p)))
-    return rows.withColumn(TASK, F.explode(where)).drop("_tasks", "_heavy").repartitionById(p.tasks, F.col(TASK))
+    heavy = F.broadcast(p.heavy.withColumnRenamed(p.key, "__lode_heavy"))
+    rows = match.join(heavy, match[p.key].eqNullSafe(heavy["__lode_heavy"]), "left")
+    where = F.coalesce(F.array_distinct("__lode_tasks"), F.array(_bucket_task(p)))
+    return rows.withColumn(TASK, F.explode(where)).drop("__lode_tasks", "__lode_heavy").repartitionById(p.tasks, F.col(TASK))
 
 
 def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", extra: Sequence[str] = (), tasks: int | None = None, split: float = SPLIT) -> DataFrame:
@@ -117,11 +117,11 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     p = plan(left, key, tasks, split)
     a, b = fragments(left, p), replicas(right.where(F.col(key).isNotNull()), p)
     on = [key, *extra]
-    b = b.select(TASK, *[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in left.columns])
+    b = b.select(TASK, *[F.col(c).alias(f"__lode_r_{c}") for c in on], *[c for c in right.columns if c not in left.columns])
     cond = a[TASK] == b[TASK]
     for c in on:
-        cond &= a[c] == b[f"_r_{c}"]
-    return a.join(b, cond, how).drop(*[f"_r_{c}" for c in on], TASK)
+        cond &= a[c] == b[f"__lode_r_{c}"]
+    return a.join(b, cond, how).drop(*[f"__lode_r_{c}" for c in on], TASK)
 
 
 def balanced_results(df: DataFrame, key: str, partial: dict[str, Column], final: dict[str, Column], keep_together: Sequence[str] = (), tasks: int | None = None, split: float = SPLIT) -> DataFrame:
@@ -143,11 +143,11 @@ def heavy_keys(df: DataFrame, key: str, share: float, tasks: int | None = None)
     Counts come from :func:`balanced_results`, so the tasks are even however large one key is. An exact check
     against the total follows.
     """
-    counts = balanced_results(df.select(key), key, {"_n": F.count("*")}, {"rows": F.sum("_n")}, tasks=tasks)
+    counts = balanced_results(df.select(key), key, {"__lode_n": F.count("*")}, {"rows": F.sum("__lode_n")}, tasks=tasks)
     counts = written(counts, "counts")
-    total = counts.agg(F.sum("rows").alias("_total"))
+    total = counts.agg(F.sum("rows").alias("__lode_total"))
     out = counts.crossJoin(F.broadcast(total))  # one row
-    return out.where(F.col(key).isNotNull() & (F.col("rows") / F.col("_total") >= share)).select(key, "rows", (F.col("rows") / F.col("_total")).alias("share"))
+    return out.where(F.col(key).isNotNull() & (F.col("rows") / F.col("__lode_total") >= share)).select(key, "rows", (F.col("rows") / F.col("__lode_total")).alias("share"))
 
 
 __all__ = ["Plan", "balanced_join", "balanced_results", "fragments", "heavy_keys", "pack", "plan", "replicas", "same"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestream.scratch import written
 from lodestream.session import tasks
 
-PART, POS = "_part", "_pos"
+PART, POS = "__lode_part", "__lode_pos"
 _LOCAL = (1 << 33) - 1
 
 
@@ -34,7 +34,7 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def range_sorted(df: DataFrame, order: Sequence[Column], parts: int | None = None) -> DataFrame:
-    """``df`` sorted over all tasks, with ``_part`` (range partition) and ``_pos`` (row in it, from 0), written once.
+    """``df`` sorted over all tasks, with ``__lode_part`` (range partition) and ``__lode_pos`` (row in it, from 0), written once.
 
     ``order`` has to end in something nearly unique, else equal rows share one partition. The bounds are
     sampled, so the result is written before anything reads it twice.
@@ -48,11 +48,11 @@ def range_sorted(df: DataFrame, order: Sequence[Column], parts: int | None = Non
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "position", parts: int | None = None) -> DataFrame:
     """``df`` with the global position in ``order`` (from 1). One shuffle; the offsets are one row a partition."""
     rows = range_sorted(df, order, parts)
-    sizes = rows.groupBy(PART).agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy(PART).agg(F.count("*").alias("__lode_n"))
     before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = sizes.select(PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(PART, F.coalesce(F.sum("__lode_n").over(before), F.lit(0)).alias("__lode_before"))
     out = rows.join(F.broadcast(offsets), PART)  # at most as many rows as range partitions
-    return out.withColumn(name, F.col("_before") + F.col(POS) + 1).drop(PART, POS, "_before")
+    return out.withColumn(name, F.col("__lode_before") + F.col(POS) + 1).drop(PART, POS, "__lode_before")
 
 
 def cumulative_frequencies(df: DataFrame, groups: Sequence[str], value: str, descending: bool = False, parts: int | None = None, weight: str | None = None) -> DataFrame:
@@ -68,16 +68,16 @@ def cumulative_frequencies(df: DataFrame, groups: Sequence[str], value: str, des
     counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     by = F.col(value).desc() if descending else F.col(value).asc()
     rows = range_sorted(counted, [*[F.col(g).asc() for g in groups], by], parts).drop(POS)
-    sizes = rows.groupBy(*groups, PART).agg(F.sum("n").alias("_size"))
+    sizes = rows.groupBy(*groups, PART).agg(F.sum("n").alias("__lode_size"))
     whole = Window.partitionBy(*groups)
     ahead = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *groups, PART, F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("total")
+        *groups, PART, F.coalesce(F.sum("__lode_size").over(ahead), F.lit(0)).alias("__lode_before"), F.sum("__lode_size").over(whole).alias("total")
     )
     inside = Window.partitionBy(*groups, PART).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("_run", F.sum("n").over(inside))
+    run = rows.withColumn("__lode_run", F.sum("n").over(inside))
     out = run.join(offsets, same(run, offsets, [*groups, PART]))
-    upto = F.col("_before") + F.col("_run")
+    upto = F.col("__lode_before") + F.col("__lode_run")
     return out.select(*[run[g] for g in groups], run[value], "n", (upto - F.col("n")).alias("before"), upto.alias("upto"), "total")
 
 

@@ -7,6 +7,6 @@ from lodestream.plans.registry import Registry
 
 def registries() -> list[Registry]:
     """The registries of the core, in the order in which queries are listed."""
-    from lodestream.plans import evaluate, hours, problems, scores, words
+    from lodestream.plans import evaluate, hours, learned, problems, scores, words
 
-    return [problems.REGISTRY, hours.REGISTRY, scores.REGISTRY, evaluate.REGISTRY, words.REGISTRY]
+    return [problems.REGISTRY, hours.REGISTRY, scores.REGISTRY, evaluate.REGISTRY, words.REGISTRY, learned.REGISTRY]
