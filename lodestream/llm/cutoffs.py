@@ -22,18 +22,18 @@ def cutoffs(df: DataFrame, targets: DataFrame, source: str, score: str, fraction
     NaN or infinite score do not count, nor do records without a source. Ties share a score and are kept or left
     together. A source without a target, or without records, has a null cutoff and keeps none. ``targets`` has one row a source.
     """
-    rows = df.where(F.col(source).isNotNull()).select(source, finite(F.col(score)).alias("_score"))
-    counts = cumulative_frequencies(rows, [source], "_score", descending=True)
-    goal = small(targets.where(F.col(source).isNotNull()).select(F.col(source).alias("_s"), F.col(fraction).cast("double").alias("_f")))
-    both = counts.join(goal, counts[source] == F.col("_s"), "left")
+    rows = df.where(F.col(source).isNotNull()).select(source, finite(F.col(score)).alias("__lode_score"))
+    counts = cumulative_frequencies(rows, [source], "__lode_score", descending=True)
+    goal = small(targets.where(F.col(source).isNotNull()).select(F.col(source).alias("__lode_s"), F.col(fraction).cast("double").alias("__lode_f")))
+    both = counts.join(goal, counts[source] == F.col("__lode_s"), "left")
     share = F.col("upto") / F.col("total")
     if closest:
-        best = F.min_by(F.struct("_score", "upto"), F.struct(F.abs(share - F.col("_f")), -F.col("_score")))
-        best = F.when(F.first("_f", ignorenulls=True).isNotNull(), best)
-        cut, kept = best["_score"], best["upto"]
+        best = F.min_by(F.struct("__lode_score", "upto"), F.struct(F.abs(share - F.col("__lode_f")), -F.col("__lode_score")))
+        best = F.when(F.first("__lode_f", ignorenulls=True).isNotNull(), best)
+        cut, kept = best["__lode_score"], best["upto"]
     else:
-        enough = share >= F.col("_f")
-        cut, kept = F.max(F.when(enough, F.col("_score"))), F.min(F.when(enough, F.col("upto")))
+        enough = share >= F.col("__lode_f")
+        cut, kept = F.max(F.when(enough, F.col("__lode_score"))), F.min(F.when(enough, F.col("upto")))
     found = both.groupBy(source).agg(cut.alias("cutoff"), kept.alias("kept"), F.max("total").alias("total"))
     goal = targets.where(F.col(source).isNotNull()).select(source, F.col(fraction).cast("double").alias(fraction))
     out = found.join(goal, source, "full")
@@ -44,7 +44,7 @@ def cutoffs(df: DataFrame, targets: DataFrame, source: str, score: str, fraction
 
 def kept(df: DataFrame, cuts: DataFrame, source: str, score: str) -> DataFrame:
     """The rows of ``df`` at or above the cutoff of their source, columns as they are."""
-    cut = small(cuts.where(F.col("cutoff").isNotNull()).select(F.col(source).alias("_s"), F.col("cutoff").alias("_c")))
-    return df.join(cut, (df[source] == F.col("_s")) & (finite(df[score]) >= F.col("_c")), "left_semi")
+    cut = small(cuts.where(F.col("cutoff").isNotNull()).select(F.col(source).alias("__lode_s"), F.col("cutoff").alias("__lode_c")))
+    return df.join(cut, (df[source] == F.col("__lode_s")) & (finite(df[score]) >= F.col("__lode_c")), "left_semi")
 
 

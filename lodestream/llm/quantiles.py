@@ -34,7 +34,7 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, points: Mapping[
 
 
 def summary(df: DataFrame, groups: Sequence[str], value: str, error: float) -> DataFrame:
-    """``groups, value, weight``: at most 2 + 1 / error rows a group, whose weights add up to the group's readings."""
+    """``groups, value, weight``: at most 2 + 2 / error rows a group, whose weights add up to the group's readings."""
     rows = cumulative_frequencies(df.select(*groups, finite(F.col(value)).alias("_v")), groups, "_v")
     step = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(float(error))))
     # The value stays whose ranks reach a multiple of step; it stands for all ranks since the multiple before.
