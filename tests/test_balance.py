@@ -36,7 +36,7 @@ def test_join_equals_a_plain_join(spark, skewed, how):
 
 def test_only_the_rows_move_once(skewed):
     plan = B.balanced_results(skewed, "k", {"a": F.count("*")}, {"n": F.sum("a")}, tasks=8)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") == 2  # to the tasks, and the partial rows by key
+    assert plan.count("+- Exchange ") == 2  # to the tasks, and the partial rows by key
 
 
 def test_empty_tables(spark, skewed):
