@@ -38,7 +38,7 @@ class Plan:
     key: str
     tasks: int
     heavy: DataFrame  # key, _tasks: the tasks of the key's shards
-    buckets: tuple[int, ...]  # the task of each hash bucket
+    buckets: DataFrame  # the task of each hash bucket
     loads: tuple[float, ...]  # planned rows per task
     rows: int
 
@@ -76,32 +76,38 @@ def plan(df: DataFrame, key: str, tasks: int | None = None, split: float = SPLIT
         places[i].append(t)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("__lode_tasks", T.ArrayType(T.IntegerType()))])
     heavy = spark.createDataFrame([(r[key], p) for r, p in zip(large, places, strict=True)], schema)
-    return Plan(key, n, heavy, tuple(at[: n * BUCKETS]), tuple(planned), rows)
+    buckets = spark.createDataFrame(list(enumerate(at[: n * BUCKETS])), "__lode_bucket int, __lode_owner int")
+    return Plan(key, n, heavy, buckets, tuple(planned), rows)
 
 
-def _bucket_task(p: Plan) -> Column:
-    return F.array(*map(F.lit, p.buckets))[F.pmod(F.hash(p.key), F.lit(p.tasks * BUCKETS))]
+def _placed(rows: DataFrame, p: Plan) -> DataFrame:
+    """``rows`` with the tasks of a split key's shards (null for other keys) and the task of the key's bucket."""
+    heavy = F.broadcast(p.heavy.withColumnRenamed(p.key, "__lode_heavy"))  # at most tasks / split rows
+    buckets = F.broadcast(p.buckets)  # tasks * BUCKETS rows
+    rows = rows.join(heavy, rows[p.key].eqNullSafe(heavy["__lode_heavy"]), "left").drop("__lode_heavy")
+    at = F.pmod(F.hash(p.key), F.lit(p.tasks * BUCKETS))
+    return rows.withColumn("__lode_at", at).join(buckets, F.col("__lode_at") == F.col("__lode_bucket")).drop("__lode_at", "__lode_bucket")
 
 
 def fragments(df: DataFrame, p: Plan, keep_together: Sequence[str] = (), move: bool = True) -> DataFrame:
     """``df`` with ``__lode_task``, each row moved there. A split key's rows are dealt evenly, or by a hash of
-    ``keep_together`` where equal values have to meet (distinct counts)."""
+    ``keep_together`` where equal values have to meet (distinct counts).
+
+    Dealing evenly goes by the place of a row in its input partition, so ``df`` should be a table as it is read (or
+    :func:`lodestream.scratch.written`): a task that is run again then deals its rows as before."""
     salt = F.xxhash64(*keep_together) if keep_together else F.monotonically_increasing_id()
-    rows = df.withColumn("__lode_salt", salt)
-    heavy = F.broadcast(p.heavy.withColumnRenamed(p.key, "__lode_heavy"))  # at most tasks / split rows
-    rows = rows.join(heavy, rows[p.key].eqNullSafe(heavy["__lode_heavy"]), "left")
+    rows = _placed(df.withColumn("__lode_salt", salt), p)
     shard = F.pmod(F.col("__lode_salt"), F.size("__lode_tasks").cast("long")).cast("int")
-    rows = rows.withColumn(TASK, F.when(F.col("__lode_tasks").isNull(), _bucket_task(p)).otherwise(F.col("__lode_tasks")[shard]))
-    rows = rows.drop("__lode_salt", "__lode_tasks", "__lode_heavy")
+    rows = rows.withColumn(TASK, F.coalesce(F.col("__lode_tasks")[shard], F.col("__lode_owner")))
+    rows = rows.drop("__lode_salt", "__lode_tasks", "__lode_owner")
     return rows.repartitionById(p.tasks, F.col(TASK)) if move else rows
 
 
 def replicas(match: DataFrame, p: Plan) -> DataFrame:
     """``match`` once for each task that holds rows of its key: once for most keys, per shard for split ones."""
-    heavy = F.broadcast(p.heavy.withColumnRenamed(p.key, "__lode_heavy"))
-    rows = match.join(heavy, match[p.key].eqNullSafe(heavy["__lode_heavy"]), "left")
-    where = F.coalesce(F.array_distinct("__lode_tasks"), F.array(_bucket_task(p)))
-    return rows.withColumn(TASK, F.explode(where)).drop("__lode_tasks", "__lode_heavy").repartitionById(p.tasks, F.col(TASK))
+    rows = _placed(match, p)
+    where = F.coalesce(F.array_distinct("__lode_tasks"), F.array("__lode_owner"))
+    return rows.withColumn(TASK, F.explode(where)).drop("__lode_tasks", "__lode_owner").repartitionById(p.tasks, F.col(TASK))
 
 
 def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", extra: Sequence[str] = (), tasks: int | None = None, split: float = SPLIT) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
@@ -65,3 +67,23 @@ def out_of_bag_scores(rows: DataFrame, key: str, learners: int = 3, depth: int =
         votes = part if votes is None else votes.unionByName(part)
     each = votes.groupBy(key).agg(F.max("y").alias("y"), F.when(F.avg("prediction") > 0.5, 1.0).otherwise(0.0).alias("g"))
     return each.agg(F.count("*").alias("rows"), F.avg(F.when(F.col("y") == F.col("g"), 1.0).otherwise(0.0)).alias("accuracy"))
+
+
+def random_search(train: DataFrame, test: DataFrame, space: Mapping[str, Sequence], trials: int = 25, seed: int = 42) -> DataFrame:
+    """``trial, params, f1, best``: seeded random draws from ``space`` (depth, bins, least rows of a leaf) for a tree, judged on ``test``.
+
+    Equal draws are fitted once. The driver holds a row a trial.
+    """
+    rng, known = random.Random(seed), {"depth", "bins", "leaf"}
+    if unknown := set(space) - known:
+        raise ValueError(f"unknown parameters: {sorted(unknown)}; there are {sorted(known)}")
+    rows, seen = [], {}
+    for trial in range(trials):
+        drawn = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
+        key = json.dumps(drawn)
+        if key not in seen:
+            tree_ = DecisionTreeClassifier(featuresCol="x", labelCol="y", weightCol="w", maxDepth=drawn.get("depth", 5), maxBins=drawn.get("bins", 32), minInstancesPerNode=drawn.get("leaf", 1), seed=42)
+            seen[key] = judged(tree_.fit(train), test).first()["f1"]
+        rows.append((trial, key, seen[key]))
+    best = max(r[2] or 0.0 for r in rows)
+    return train.sparkSession.createDataFrame([(*r, (r[2] or 0.0) == best) for r in rows], "trial int, params string, f1 double, best boolean")

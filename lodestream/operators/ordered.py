@@ -20,12 +20,13 @@ PART, POS = "__lode_part", "__lode_pos"
 _LOCAL = (1 << 33) - 1
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+def small(df: DataFrame, most: int = 100_000, weight: Column | None = None) -> DataFrame:
     """``df`` marked for broadcast if it is seen to have at most ``most`` rows; else as it is, for a shuffled join.
 
-    The count runs first and stops at ``most + 1`` rows, so ``df`` should be cheap or written.
+    With ``weight``, its sum is held against ``most`` (rows that carry lists). The count runs first, so ``df`` should be cheap or written.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    size = df.limit(most + 1).count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

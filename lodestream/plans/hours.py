@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.clean import day, hour
+from lodestream.functions.clean import day, hour, once
 from lodestream.operators import hourly as H
 from lodestream.operators.ordered import interpolated
 from lodestream.plans.registry import Registry, table
-from lodestream.scratch import written
-from lodestream.sources import readers
+from lodestream.scratch import root, written
+from lodestream.sources import readers, sinks
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -289,3 +291,50 @@ def hourly_features_job(spark: SparkSession, folder: str) -> DataFrame:
     means = ["expanding_mean_session_count", "expanding_mean_max_shortLength", "AvgSessionLengthTime", "session_time", "expanding_mean_session_time", "rolling_mean_zero_bytes_Count"]
     out = rows.withColumns(flags).drop("high", "low", *[f"expanding_std_{c}" for c in STATS])
     return out.withColumns({c: H.nudged(F.col(c)) for c in means})
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{root(spark)}/{name}-{uuid4().hex[:12]}"
+
+
+@add("sink_partitioned", f"WITH {HOURS} SELECT app_id, device_id, CAST(day AS VARCHAR) AS date, lpad(CAST(hr AS VARCHAR), 2, '0') AS hour, session_count, max_zero_bytes_Count FROM hours WHERE app_id IS NOT NULL")
+def sink_partitioned(spark: SparkSession, folder: str) -> DataFrame:
+    """Features written below ``date=`` folders twice, as a repeated run would, and read back: nothing is doubled."""
+    rows = _hours(spark, folder).where("app_id IS NOT NULL")
+    out = rows.select("app_id", "device_id", F.col("day").cast("string").alias("date"), F.format_string("%02d", "hr").alias("hour"), "session_count", "max_zero_bytes_Count")
+    path = _place(spark, "features")
+    for _ in range(2):
+        sinks.partitioned(out, path, ["date"], ["device_id", "hour"])
+    return spark.read.schema(out.schema).parquet(path).select(*out.columns)
+
+
+@add("sink_csv", "SELECT DISTINCT ON (score_id) score_id, Severity_final, Severity_label FROM severity_scores WHERE isfinite(Severity_final)")
+def sink_csv(spark: SparkSession, folder: str) -> DataFrame:
+    rows = once(table(spark, folder, "severity_scores").select("score_id", "Severity_final", "Severity_label"), "score_id")
+    rows = rows.where("Severity_final IS NOT NULL AND NOT isnan(Severity_final) AND abs(Severity_final) < double('inf')")
+    path = _place(spark, "scored")
+    sinks.csv(rows, path)
+    return readers.csv(spark, path, "score_id long, Severity_final double, Severity_label string")
+
+
+@add("sink_runs", "SELECT 'sessions' AS run, unnest(['events', 'apps']) AS metric, unnest([(SELECT CAST(count(*) AS DOUBLE) FROM session_events), (SELECT CAST(count(DISTINCT app_id) AS DOUBLE) FROM session_events)]) AS value")
+def sink_runs(spark: SparkSession, folder: str) -> DataFrame:
+    path = _place(spark, "runs")
+    metrics = _events(spark, folder).agg(F.count("*").alias("events"), F.count_distinct("app_id").alias("apps"))
+    sinks.log_run(metrics, path, "sessions", {"table": "session_events"})
+    return spark.read.parquet(path).select("run", "metric", "value")
+
+
+@add("text_source", "SELECT trim(n_name) AS value FROM nation")
+def text_source(spark: SparkSession, folder: str) -> DataFrame:
+    """A corpus file of lines, blank ones among them, read back without those."""
+    path = _place(spark, "corpus")
+    names = table(spark, folder, "nation").select(F.col("n_name").alias("value"))
+    names.unionByName(names.select(F.lit("  ").alias("value"))).write.text(path)
+    return readers.lines(spark, path)
+
+
+@add("fill_defaults", "SELECT feature_id, coalesce(max_zero_bytes_Count, 0) AS max_zero_bytes_Count, CASE WHEN session_time IS NULL OR isnan(session_time) THEN -1 ELSE session_time END AS session_time FROM hourly_features")
+def fill_defaults(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "hourly_features").select("feature_id", "max_zero_bytes_Count", "session_time")
+    return rows.na.fill({"max_zero_bytes_Count": 0, "session_time": -1.0})

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lodestream.functions.clean import once
 from lodestream.operators import models, outliers, sampling
 from lodestream.operators.hourly import nudged
-from lodestream.operators.severity import COLUMNS
+from lodestream.operators.severity import COLUMNS, severity
 from lodestream.plans.hours import EVENTS, r6
 from lodestream.plans.registry import Registry, table
+from lodestream.plans.scores import SEVERITY
 from lodestream.scratch import written
 from lodestream.streaming import jobs
 
@@ -83,6 +84,12 @@ def gbt_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return models.judged(models.boosted(train, 5), test)
 
 
+@add("parameter_search")
+def parameter_search(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _parts(spark, folder)
+    return models.random_search(train, test, {"depth": range(1, 5), "leaf": [1, 20]}, 25)
+
+
 @add("oob_score")
 def oob_score(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _parts(spark, folder)
@@ -109,3 +116,11 @@ def stream_device_stats(spark: SparkSession, folder: str) -> DataFrame:
     last = Window.partitionBy("device_id", "salt").orderBy(F.col("_batch").desc())  # a row per micro-batch
     out = jobs.combined(rows.withColumn("_r", F.row_number().over(last)).where("_r = 1"))
     return out.select("device_id", "n", nudged(F.col("mean")).alias("mean"), nudged(F.col("std")).alias("std"))
+
+
+@add("stream_severity", f"SELECT score_id, {r6(SEVERITY)} AS severity FROM severity_scores")
+def stream_severity(spark: SparkSession, folder: str) -> DataFrame:
+    """Scoring of micro-batches: the batch function as it is, over a stream. Rows as stored, repeats included."""
+    path = f"{folder}/severity_scores.parquet"
+    stream = jobs.opened(spark, path, spark.read.parquet(path))
+    return jobs.table_of(severity(stream, name="severity", label="label").select("score_id", nudged(F.col("severity")).alias("severity")), "append").drop("_batch")

@@ -58,7 +58,7 @@ def squash_methods(spark: SparkSession, folder: str) -> DataFrame:
 
 _S0 = " + ".join(f"{w} * {_squash_sql(k)}" for k, w in S.WEIGHTS.items())
 _FLAGS = "least(1, greatest(0, (" + " + ".join(f"coalesce({f}, 0)" for f in S.FLAGS) + ") / 3.0))"
-_SEV = f"least(1, greatest(0, 0.85 * ({_S0}) + 0.10 * {_FLAGS}))"
+SEVERITY = _SEV = f"least(1, greatest(0, 0.85 * ({_S0}) + 0.10 * {_FLAGS}))"
 
 
 @add("severity_blend", f"WITH {ONCE} SELECT score_id, {r6(_S0)} AS Severity_S0, {r6(_SEV)} AS Severity_final FROM once")

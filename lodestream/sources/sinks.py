@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from lodestream.operators.ordered import ranked
 
 
-def partitioned(df: DataFrame, path: str, by: Sequence[str], files: int, sort: Sequence[str] = ()) -> None:
+def partitioned(df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = ()) -> None:
     """Parquet below ``by=`` folders. Only the partitions that ``df`` has are replaced, so an hour that is run again isn't doubled;
-    an empty ``df`` replaces none. ``files`` tasks write; a large partition value is spread over them."""
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(files))
-    out = df.withColumn("_salt", salt).repartition(files, *by, "_salt").drop("_salt").sortWithinPartitions(*by, *sort)
+    an empty ``df`` replaces none. Rows are rebalanced by partition value: small values share a task, a large one is split over several."""
+    out = df.hint("rebalance", *[F.col(c) for c in by]).sortWithinPartitions(*by, *sort)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 

@@ -36,9 +36,9 @@ def test_bad_records_decode_to_nulls(spark):
 def test_a_repeated_write_replaces_its_partitions_only(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "v int, p string")
-    sinks.partitioned(df, path, ["p"], 2, ["v"])
-    sinks.partitioned(df.where("p = 'b'").withColumn("v", F.lit(9)), path, ["p"], 2)
-    sinks.partitioned(df.limit(0), path, ["p"], 2)
+    sinks.partitioned(df, path, ["p"], ["v"])
+    sinks.partitioned(df.where("p = 'b'").withColumn("v", F.lit(9)), path, ["p"])
+    sinks.partitioned(df.limit(0), path, ["p"])
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "a"), (9, "b")]
 
 
