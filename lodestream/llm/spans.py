@@ -218,7 +218,7 @@ def _grams(texts: DataFrame, least: int, window: int) -> DataFrame:
     near = written(near, "near")
     one = near.groupBy("t1", "t2").agg(F.min("doc").alias("doc")).select("doc")
     near = near.join(one, "doc", "left_semi").select("doc", "firsts", "sizes")
-    rows = long.select("doc", "text").join(small(written(near, "places"), 20_000), "doc")
+    rows = long.select("doc", "text").join(small(written(near, "places"), 500_000, F.size("firsts")), "doc")
     return written(rows.mapInArrow(_gram_rows(least), "gram long, doc long, place long"), "grams")
 
 
