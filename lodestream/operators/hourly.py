@@ -19,11 +19,16 @@ def nudged(x: Column) -> Column:
     return F.round(x + 1e-9, 6)
 
 
-def once(events: DataFrame) -> DataFrame:
-    """An event per (app, device, time, record type, session): repeats that arrived again carry the same values; NaN times become null."""
-    keys = ["app_id", "device_id", "event_date", "record_type", "session_id"]
+REPEAT = ["app_id", "device_id", "event_date", "record_type", "session_id"]
+
+
+def once(events: DataFrame, beside: Sequence[str] = ()) -> DataFrame:
+    """An event per (app, device, time, record type, session): repeats that arrived again carry the same values; NaN times become null.
+
+    ``beside``: columns that follow from the time and are kept with it.
+    """
     time = F.when(~F.isnan("session_time"), F.col("session_time"))
-    return events.groupBy(*keys).agg(F.min("input_bytes").alias("input_bytes"), F.min("output_bytes").alias("output_bytes"), F.min(time).alias("session_time"))
+    return events.groupBy(*REPEAT, *beside).agg(F.min("input_bytes").alias("input_bytes"), F.min("output_bytes").alias("output_bytes"), F.min(time).alias("session_time"))
 
 
 def arrived(events: DataFrame, job: str, hours: int = 1) -> DataFrame:
@@ -39,15 +44,20 @@ def arrived(events: DataFrame, job: str, hours: int = 1) -> DataFrame:
 
 
 def hourly(events: DataFrame, short: int = 60) -> DataFrame:
-    """All measures of an hour in one aggregate: distinct sessions, short ones and their mean length, mean time, zero-usage records."""
-    rows = events.withColumns({"day": F.to_date("event_date"), "hr": F.hour("event_date"), "usage": F.col("input_bytes") + F.col("output_bytes")})
+    """All measures of a device's hour: distinct sessions, short ones and their mean length, mean time, zero-usage records.
+
+    Events move once, by device and hour, which spreads a busy device over its hours; repeats, distinct sessions and the
+    measures are all found where the events then lie.
+    """
+    rows = events.withColumns({"day": F.to_date("event_date"), "hr": F.hour("event_date")})
+    rows = once(rows.select(*REPEAT, "day", "hr", "input_bytes", "output_bytes", "session_time").repartition(*KEYS), ["day", "hr"])
     brief = F.col("session_time").cast("int") <= short
     return rows.groupBy(*KEYS).agg(
         F.count_distinct("session_id").alias("session_count"),
         F.count(F.when(brief, 1)).alias("max_shortLength"),
         F.avg(F.when(brief, F.col("session_time"))).alias("AvgSessionLengthTime"),
         F.avg("session_time").alias("session_time"),
-        F.count(F.when(F.col("usage") == 0, 1)).alias("max_zero_bytes_Count"),
+        F.count(F.when(F.col("input_bytes") + F.col("output_bytes") == 0, 1)).alias("max_zero_bytes_Count"),
     )
 
 
@@ -107,7 +117,7 @@ def features(events: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     ``limits`` (``high, low``: one row) replaces the quantiles of the differences that are otherwise taken from the batch,
     approximately and without a second sort.
     """
-    rows = zero_usage(expanding(hourly(once(events)), ["session_count", "max_shortLength", "session_time"]))
+    rows = zero_usage(expanding(hourly(events), ["session_count", "max_shortLength", "session_time"]))
     if limits is None:
         diff = F.col("session_time") - F.col("expanding_mean_session_time")
         limits = rows.agg(F.percentile_approx(diff, 0.95, 10000).alias("high"), F.percentile_approx(diff, 0.10, 10000).alias("low"))

@@ -47,7 +47,7 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hours(spark: SparkSession, folder: str) -> DataFrame:
-    return H.hourly(H.once(_events(spark, folder)))
+    return H.hourly(_events(spark, folder))
 
 
 def _stated(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,9 +126,10 @@ def hourly_aggregates(spark: SparkSession, folder: str) -> DataFrame:
     SELECT * FROM a FULL JOIN b USING ({_K}) FULL JOIN c USING ({_K}) FULL JOIN d USING ({_K})""",
 )
 def hourly_merge_outer(spark: SparkSession, folder: str) -> DataFrame:
-    """Four frames of the same keys, merged; all four share one partitioning by key, so the joins add no shuffle of their own."""
-    rows = H.once(_events(spark, folder)).where(F.col("app_id").isNotNull() & F.col("device_id").isNotNull())
+    """Four frames of the same keys, merged; events move once, by the keys, and the joins add no shuffle of their own."""
+    rows = _events(spark, folder).where(F.col("app_id").isNotNull() & F.col("device_id").isNotNull())
     rows = rows.withColumns({"day": F.to_date("event_date"), "hr": F.hour("event_date")})
+    rows = H.once(rows.select(*H.REPEAT, "day", "hr", "input_bytes", "output_bytes", "session_time").repartition(*H.KEYS), ["day", "hr"])
     part = lambda name, cond, agg=None: rows.where(cond).groupBy(*H.KEYS).agg((agg if agg is not None else F.count("*")).alias(name))
     out = part("sessions", F.lit(True), F.count_distinct("session_id"))
     for other in (part("shorts", F.col("session_time").cast("int") <= 60), part("timed", F.col("session_time").isNotNull()), part("zeros", F.col("input_bytes") + F.col("output_bytes") == 0)):
