@@ -79,7 +79,22 @@ def _flagged(spark: SparkSession, folder: str) -> DataFrame:
     return spikes.flagged(rows.withColumn("_t", hours), "feature_id", "device_id", "_t", READINGS)
 
 
-@add("p6_found")
+#: Levels by sorting all readings; the normal one is the largest. The operator finds it by normality instead.
+_P6 = """WITH once AS (SELECT DISTINCT ON (feature_id) feature_id, device_id, CAST(replace(substr(trim(date), 1, 10), '/', '-') AS DATE) + CAST(hour AS INT) * INTERVAL 1 HOUR AS t, session_count, session_time, max_zero_bytes_Count FROM hourly_features),
+    r AS (SELECT feature_id, device_id, t, 'session_count' AS field, CAST(session_count AS DOUBLE) AS v FROM once WHERE session_count IS NOT NULL
+        UNION ALL SELECT feature_id, device_id, t, 'session_time', session_time FROM once WHERE session_time >= 0 AND NOT isnan(session_time)
+        UNION ALL SELECT feature_id, device_id, t, 'max_zero_bytes_Count', max_zero_bytes_Count FROM once WHERE max_zero_bytes_Count IS NOT NULL),
+    c AS (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER (PARTITION BY device_id, field ORDER BY t) THEN 1 ELSE 0 END AS new FROM r),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY device_id, field ORDER BY t) AS run FROM c),
+    f AS (SELECT *, count(*) OVER (PARTITION BY device_id, field, run) AS n FROM g),
+    k AS (SELECT *, v < 0 OR isinf(v) OR (field = 'session_time' AND v > 86400) AS never, n >= 6 AND v <> 0 AS stuck FROM f),
+    o AS (SELECT *, lag(v) OVER (PARTITION BY device_id, field ORDER BY v) AS p FROM k WHERE NOT never AND NOT stuck),
+    l AS (SELECT *, sum(CASE WHEN v > 2 * p AND v > p + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY device_id, field ORDER BY v ROWS UNBOUNDED PRECEDING) AS level FROM o),
+    m AS (SELECT device_id, field, level, min(v) AS lo, max(v) AS hi, count(*) AS many FROM l GROUP BY device_id, field, level QUALIFY row_number() OVER (PARTITION BY device_id, field ORDER BY many DESC) = 1)
+    SELECT feature_id, field FROM k LEFT JOIN m USING (device_id, field) WHERE never OR stuck OR (v > 2 * hi AND v > hi + 10) OR (v < lo / 2 AND v < lo - 10)"""
+
+
+@add("p6_found", _P6)
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _flagged(spark, folder).where(F.col("reason").isNotNull()).select(F.col("id").alias("feature_id"), "field")
 
