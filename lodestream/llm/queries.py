@@ -69,6 +69,12 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("field", "app_id", "day", "readings", *[F.round(F.col(n) + 1e-9, 5).alias(n) for n in POINTS])
 
 
+@add("p4_summaries")
+def p4_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """What is kept of each app's day, to be put together with other days or files."""
+    return quantiles.summary(_readings(spark, folder), ["field", "app_id", "day"], "value", ERROR)
+
+
 @add("p4_merged")
 def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles per app over all days, from the summaries of its days, with the rank error that holds."""
@@ -97,6 +103,22 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return _ranking(spark, folder).where((F.col("to_ideal") == 0) & (F.col("missing") == 0)).select("score_id")
 
 
+def _closeness_sql() -> str:
+    fin = {c: f"CASE WHEN isfinite({c}) THEN {c} END" for c in SCORES}
+    limits = ", ".join(f"quantile_cont({x}, 0.02) AS lo{i}, quantile_cont({x}, 0.5) AS mid{i}, quantile_cont({x}, 0.98) AS hi{i}" for i, x in enumerate(fin.values()))
+    clipped = ", ".join(f"least(greatest(coalesce({x}, mid{i}), lo{i}), hi{i}) AS y{i}, lo{i}, hi{i}" for i, x in enumerate(fin.values()))
+    # The norm cancels: normalised distances are divided by the normalised way from worst to best.
+    up, down = (" + ".join(f"pow({side} / (hi{i} - lo{i}), 2)" for i, side in enumerate(sides)) for sides in ([f"(hi{i} - y{i})" for i in range(4)], [f"(y{i} - lo{i})" for i in range(4)]))
+    return f"""WITH once AS (SELECT DISTINCT ON (score_id) * FROM severity_scores), limits AS (SELECT {limits} FROM once), c AS (SELECT score_id, {clipped} FROM once, limits)
+    SELECT score_id, round(sqrt({down}) / (sqrt({up}) + sqrt({down})) + 1e-9, 6) AS closeness FROM c"""
+
+
+@add("p5_closeness", _closeness_sql())
+def p5_closeness(spark: SparkSession, folder: str) -> DataFrame:
+    rows = written(once(table(spark, folder, "severity_scores").select("score_id", *SCORES), "score_id"), "scores")
+    return ranking.closeness(rows, SCORES).select("score_id", F.round(F.col("closeness") + 1e-9, 6).alias("closeness"))
+
+
 @add("p5_ranking")
 def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return _ranking(spark, folder)
@@ -156,7 +178,13 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
-@add("p10_found")
+@add(
+    "p10_found",
+    """WITH span AS (SELECT limit_value AS n FROM text_limits WHERE limit_name = 'min_span_chars'),
+    grams AS (SELECT DISTINCT doc_id, md5(substr(text, i, n)) AS h FROM (SELECT doc_id, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM documents, span WHERE length(text) >= n)),
+    common AS (SELECT h FROM grams GROUP BY h HAVING count(*) > 1), g AS (SELECT * FROM grams SEMI JOIN common USING (h))
+    SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id""",
+)
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     pairs = spans.shared_pairs(docs, "doc_id", "text", _limit(spark, folder, "min_span_chars"))
