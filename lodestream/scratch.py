@@ -16,16 +16,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: set[str] = set()
+_OWN: dict[str, str] = {}  # by application, where the setting is empty
 
 
 def root(spark: SparkSession) -> str:
     """The shared folder of this application, without a trailing slash."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(app)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestream-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestream-")
+        spark.sparkContext.setCheckpointDir(base)
         _ROOTS.add(base)
-    own = f"{base.rstrip('/')}/lodestream-{spark.sparkContext.applicationId}"
+    own = f"{base.rstrip('/')}/lodestream-{app}"
     _ROOTS.add(own)
     return own
 
