@@ -1,4 +1,4 @@
-"""Outlier scores: isolation forest, local outlier factor and reconstruction error. Fitted on bounded samples, applied to every row."""
+"""Outlier scores: isolation forest, local outlier factor and reconstruction error. Forests are fitted on bounded samples and applied to every row; LOF compares all rows with all."""
 
 from __future__ import annotations
 
@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 from lodestream.functions.clean import number
 from lodestream.operators.evaluation import reconstruction_error
 from lodestream.operators.forest import grown
+from lodestream.operators.ordered import ranked
+from lodestream.scratch import written
+from lodestream.session import tasks
 
-#: The bounds on what a model is fitted on: rows of a sample (of one app, or of the whole table), and rows that LOF keeps as neighbours.
-SAMPLE, NEIGHBOURS, MODELS = 256, 2048, 10_000
+#: The bounds on what a model is fitted on: rows of a sample (of one app, or of the whole table), and models.
+SAMPLE, MODELS = 256, 10_000
+#: Rows of a block in the neighbour search; every block meets every other.
+BLOCK = 1024
 
 
 def _drawn(df: DataFrame, key: str, many: int, seed: int) -> DataFrame:
@@ -87,7 +92,7 @@ def group_scores(df: DataFrame, key: str, group: str, columns: Sequence[str], sa
 
 
 class LocalOutlierFactor:
-    """The density of a point's neighbourhood against that of its neighbours, over a kept sample; inputs are scaled alike in fit and score."""
+    """The density of a point's neighbourhood against that of its neighbours, over the rows of one array."""
 
     def __init__(self, x: np.ndarray, k: int = 20) -> None:
         self.mean, std = x.mean(0), x.std(0)
@@ -106,29 +111,55 @@ class LocalOutlierFactor:
         d = (y * y).sum(1)[:, None] + (self.x * self.x).sum(1)[None, :] - 2 * y @ self.x.T
         return np.sqrt(np.maximum(d, 0))
 
-    def score(self, y: np.ndarray) -> np.ndarray:
-        out = []
-        for lo in range(0, len(y), 512):
-            d = self._distance((y[lo : lo + 512] - self.mean) / self.scale)
-            near = np.argpartition(d, self.k - 1, axis=1)[:, : self.k]
-            reach = np.maximum(self.reach[near], np.take_along_axis(d, near, 1)).mean(1)
-            out.append(self.density[near].mean(1) * np.maximum(reach, 1e-10))
-        return np.concatenate(out) if out else np.zeros(0)
 
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """``_i, v`` packed: a row per block of at most ``BLOCK`` rows, written once."""
+    packed = rows.groupBy(F.floor((F.col("_i") - 1) / BLOCK).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_i", "v"))).alias("_l"))
+    return written(packed.select(F.col("_l._i").alias(f"{name}i"), F.flatten("_l.v").alias(f"{name}v")), "blocks")
 
-def lof_scores(df: DataFrame, key: str, vector: str, k: int = 20, sample: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
-    """``key, lof``: novelty scores (about 1 is usual, more is stranger) of every row against a sample of at most about ``sample`` rows."""
-    rows = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
-    fit = _drawn(rows, key, sample, seed).orderBy(key).select("v").limit(2 * sample).collect()  # the documented bound
-    model = LocalOutlierFactor(np.array([r["v"] for r in fit], float), k) if len(fit) > 2 else None
+
+def _nearest(queries: DataFrame, others: DataFrame, k: int, mean: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """``_i, near``: the ``k`` nearest (distance, ``_i``) of each row of ``queries`` among all of ``others``, nearest first, without the row itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b.column("v")
-            s = model.score(v.flatten().to_numpy().reshape(len(b), -1)) if model and len(b) else np.ones(len(b))
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(s)], names=[key, "lof"])
-
-    return rows.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, lof double")
+            for r in range(len(b)):
+                qi, qv, ci, cv = [b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("qi", "qv", "ci", "cv")]
+                x, y = (qv.reshape(len(qi), -1) - mean) / scale, (cv.reshape(len(ci), -1) - mean) / scale
+                d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+                d[qi[:, None] == ci[None, :]] = np.inf
+                at = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(ci) else np.tile(np.arange(len(ci)), (len(qi), 1))
+                far = np.stack([np.sqrt(((x - y[j]) ** 2).sum(1)) for j in at.T], 1)  # differences again: the products are off where rows are equal
+                other = ci[at] != qi[:, None]
+                offsets = np.concatenate([[0], other.sum(1).cumsum()]).astype(np.int32)
+                near = pa.StructArray.from_arrays([pa.array(far[other]), pa.array(ci[at][other])], names=["d", "j"])
+                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.ListArray.from_arrays(pa.array(offsets), near)], names=["_i", "near"])
+
+    pairs = queries.repartition(tasks(queries.sparkSession)).crossJoin(others)  # blocks, not rows
+    each = pairs.mapInArrow(run, "_i long, near array<struct<d: double, j: long>>")
+    return written(each.groupBy("_i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")), "near")
+
+
+def lof_scores(df: DataFrame, key: str, vector: str, k: int = 20, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """``key, lof``: the local outlier factor (about 1 is usual, more is stranger) of every row, its ``k`` neighbours searched exactly among all rows.
+
+    A row is no neighbour of itself; equal rows are. Distances are between scaled vectors. A row without neighbours scores 1, null vectors
+    are left out. The work grows with the square of the rows; only if ``sample`` is given, neighbours are searched among about so many drawn rows.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("v"))
+    rows = written(ranked(rows, [F.col("_key").asc(), F.xxhash64("v").asc()], "_i"), "vectors")
+    each = rows.select(F.posexplode("v").alias("_p", "_x")).groupBy("_p").agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"))
+    stats = sorted(each.collect())  # a row per dimension
+    mean, std = np.array([r["m"] for r in stats]), np.array([r["s"] for r in stats])
+    others = rows if sample is None else _drawn(rows, "_i", sample, seed)
+    near = _nearest(_blocks(rows, "q"), _blocks(others, "c"), k, mean, np.where(std > 0, std, 1.0))
+    links = near.select("_i", F.explode("near").alias("_n")).select("_i", F.col("_n.d").alias("d"), F.col("_n.j").alias("j"))
+    reach = near.select(F.col("_i").alias("j"), F.array_max("near.d").alias("reach"))
+    density = links.join(reach, "j").groupBy("_i").agg((1 / F.greatest(F.avg(F.greatest("reach", "d")), F.lit(1e-10))).alias("density"))
+    density = written(density, "density")
+    around = links.join(density.select(F.col("_i").alias("j"), F.col("density").alias("near")), "j").groupBy("_i").agg(F.avg("near").alias("around"))
+    lof = around.join(density, "_i").select("_i", (F.col("around") / F.col("density")).alias("lof"))
+    return rows.select("_key", "_i").join(lof, "_i", "left").select(F.col("_key").alias(key), F.coalesce("lof", F.lit(1.0)).alias("lof"))
 
 
 def pca_errors(df: DataFrame, key: str, vector: str, k: int = 8) -> DataFrame:

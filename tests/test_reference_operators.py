@@ -122,6 +122,16 @@ def test_lof_equals_brute_force_and_finds_the_lonely_point(spark):
     assert outliers.lof_scores(df.limit(0), "id", "v").count() == 0
 
 
+def test_lof_searches_all_rows_and_leaves_each_itself_out(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (2700, 3)), rng.normal(9, 0.1, (30, 3))])  # above the 2,048 rows that once were the most
+    want = outliers.LocalOutlierFactor(x, 20).own
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {r.id: r.lof for r in outliers.lof_scores(df, "id", "v").collect()}
+    assert len(got) == len(x) and np.allclose([got[i] for i in range(len(x))], want)
+    assert [r.lof for r in outliers.lof_scores(df.limit(1), "id", "v").collect()] == [1.0]
+
+
 def test_forest_scores_rank_a_planted_outlier_first(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))] + [(999, 40.0, -40.0)]
