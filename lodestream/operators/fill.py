@@ -1,8 +1,8 @@
 """Missing values filled from similar records: verified dependencies first, then groups, each fill with its origin.
 
 A dependency D -> field is mined from the records that are complete in both. One pass of distinct-count sketches
-drops the candidates whose pairs (D, field) are clearly more than their D, or whose D hardly repeats; the rest is counted
-exactly and holds if at least ``confidence`` of the rows agree with the usual value of their D. Its dictionary has only
+drops the candidates that cannot hold (each pair (D, field) beyond one a D costs at least a row), or whose D hardly repeats; the rest
+is counted exactly, at every size, and holds if at least ``confidence`` of the rows agree with the usual value of their D. Its dictionary has only
 the D values whose complete records all agree. What no dictionary fills comes from the first of the groups that has a
 value: the mean of plausible values for numbers, the most frequent value for categories.
 """
@@ -47,11 +47,11 @@ def _known(cols: Sequence[str]) -> Column:
     return out
 
 
-def mine(df: DataFrame, fields: Sequence[Field], confidence: float = 0.99, repeats: float = 2.0, margin: float = 1.15, cheap: int = 10_000) -> dict[str, list[Dependency]]:
+def mine(df: DataFrame, fields: Sequence[Field], confidence: float = 0.99, repeats: float = 2.0, margin: float = 1.15) -> dict[str, list[Dependency]]:
     """The dependencies that hold, by field, the most reliable first. An empty table has none.
 
-    ``repeats``: rows a D value has on average at least. ``margin``: the sketches are 2 percent off, so pairs may seem to outnumber D
-    by this factor; nothing is accepted on a sketch alone, and candidates of up to ``cheap`` pairs are not rejected on one either.
+    ``repeats``: rows a D value has on average at least. ``margin``: the sketches are 2 percent off, so pairs may seem more and D fewer
+    by this factor; only what exceeds the rows that may disagree even then is dropped, and nothing is accepted on a sketch alone.
     """
     tests = [(f, d) for f in fields for d in f.determinants]
     if not tests:
@@ -64,7 +64,7 @@ def mine(df: DataFrame, fields: Sequence[Field], confidence: float = 0.99, repea
     held: dict[str, list[Dependency]] = {}
     for i, (f, d) in enumerate(tests):
         n, distinct, pairs = seen[f"n{i}"], seen[f"d{i}"], seen[f"p{i}"]
-        if not distinct or n < repeats * distinct or pairs > max(margin * distinct, cheap):
+        if not distinct or n < repeats * distinct or pairs / margin - distinct * margin > (1 - confidence) * n:
             continue
         counts = df.where(_known(d) & ~f.missing).groupBy(*d, f.name).agg(F.count("*").alias("__lode_n"))
         each = written(counts.groupBy(*d).agg(F.count("*").alias("__lode_values"), F.max("__lode_n").alias("__lode_top"), F.sum("__lode_n").alias("__lode_rows"), F.first(f.name).alias("__lode_value")), "each")
