@@ -38,7 +38,7 @@ def word_vocab(spark: SparkSession, folder: str) -> DataFrame:
 
 @add("char_vocab")
 def char_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return V.frequent(_docs(spark, folder), "doc_id", X.characters(F.col("text")), 100)
+    return V.frequent(_docs(spark, folder), "doc_id", X.characters(F.col("text")), 30_000)
 
 
 def _encoded(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,7 @@ from lodestream.operators import hourly as H
 from lodestream.operators import outliers, sampling
 from lodestream.operators import severity as S
 from lodestream.operators import vocabulary as V
+from lodestream.plans import learned, words
 from lodestream.streaming import jobs
 
 
@@ -167,6 +168,12 @@ def test_encode_and_decode(spark):
         V.splitter("morse")
 
 
+def test_char_vocab_has_all_characters(spark, tmp_path):
+    text = "".join(chr(0x4E00 + i) for i in range(300))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.token for r in words.char_vocab(spark, str(tmp_path)).collect()} == set(text)
+
+
 def test_windows_of_the_stream(spark):
     df = spark.createDataFrame([(1, [1, 2, 3]), (2, []), (3, [4, 5, 6, 7])], "id int, ids array<int>")
     rows = V.windows(df, "id", "ids", 3).orderBy("window").collect()
