@@ -25,10 +25,10 @@ def split(df: DataFrame, key: str, parts: dict[str, float], seed: int = 42, name
     return df.withColumn(name, out.otherwise(last) if out is not None else F.lit(last))
 
 
-def bags(df: DataFrame, key: str, learners: int, seed: int = 7, most: int = 6) -> DataFrame:
+def bags(df: DataFrame, key: str, learners: int, seed: int = 7, most: int = 12) -> DataFrame:
     """Sampling with replacement, distributed: ``learner, draws`` per row and learner, draws from a Poisson of mean 1 (0 is out of bag).
 
-    The Poisson stands for m draws out of m rows at any size; more than ``most`` draws have a chance below 1e-4 and count as ``most``.
+    The Poisson stands for m draws out of m rows at any size; more than ``most`` draws have a chance below 2**-32, the resolution of the hash.
     """
     learner = F.explode(F.sequence(F.lit(0), F.lit(learners - 1))).alias("learner")
     rows = df.select("*", learner)

@@ -106,6 +106,12 @@ def test_bags_and_what_is_out_of_them_cover_all_rows(spark):
     assert sampling.columns("abcdef", 3, 1) == sampling.columns("abcdef", 3, 1) and len(sampling.columns("abcdef", 3)) == 3
 
 
+def test_draws_go_as_far_as_the_hash(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "uniform", lambda seed, *keys: F.col("u"))
+    df = spark.createDataFrame([(1, 0.3), (2, 0.5), (3, 0.99999), (4, 1 - 2.0**-32)], "id int, u double")
+    assert {r.id: r.draws for r in sampling.bags(df, "id", 1).collect()} == {1: 0, 2: 1, 3: 8, 4: 12}
+
+
 def test_lof_equals_brute_force_and_finds_the_lonely_point(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(0, 1, (80, 3)), [[9.0, 9.0, 9.0]]])
