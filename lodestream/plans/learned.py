@@ -24,7 +24,7 @@ INPUTS = [
     "session_count", "expanding_mean_session_count", "AnomalySessionCount", "max_shortLength", "expanding_mean_max_shortLength", "shortSessionAnomaly", "session_time", "expanding_mean_session_time",
     "sessionTimeAnomalyBasedOnHistory", "max_zero_bytes_Count", "rolling_mean_zero_bytes_Count", "ZerobytesUsagenAnomaly",
 ]
-WEIGHTS = {0: 0.1, 1: 1.0}
+WEIGHTS, FOREST_WEIGHTS = {0: 0.1, 1: 1.0}, {0: 0.1, 1: 3.0}
 
 
 @add("iforest_scores")
@@ -48,9 +48,9 @@ def reconstruction_error(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.pca_errors(table(spark, folder, "embeddings"), "vec_id", "embedding")
 
 
-def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _parts(spark: SparkSession, folder: str, weights: dict[int, float] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
     rows = once(table(spark, folder, "severity_scores").select("score_id", "anomaly", *SIGNALS), "score_id")
-    rows = written(models.assembled(sampling.split(rows, "score_id", {"train": 0.6, "validation": 0.2, "test": 0.2}), "score_id", SIGNALS, "anomaly", WEIGHTS).join(sampling.split(rows.select("score_id"), "score_id", {"train": 0.6, "validation": 0.2, "test": 0.2}), "score_id"), "parts")
+    rows = written(models.assembled(sampling.split(rows, "score_id", {"train": 0.6, "validation": 0.2, "test": 0.2}), "score_id", SIGNALS, "anomaly", weights).join(sampling.split(rows.select("score_id"), "score_id", {"train": 0.6, "validation": 0.2, "test": 0.2}), "score_id"), "parts")
     return rows.where("part = 'train'"), rows.where("part = 'validation'")
 
 
@@ -63,25 +63,25 @@ def decision_tree(spark: SparkSession, folder: str) -> DataFrame:
 @add("tree_depth_sweep")
 def tree_depth_sweep(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _parts(spark, folder)
-    return models.depth_sweep(train, test, range(1, 6))
+    return models.depth_sweep(train, test, range(1, 20))
 
 
 @add("rf_classifier")
 def rf_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = _parts(spark, folder)
-    return models.judged(models.forest(train, 8, 20), test)
+    train, test = _parts(spark, folder, FOREST_WEIGHTS)
+    return models.judged(models.forest(train), test)
 
 
 @add("feature_importance")
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    train, _ = _parts(spark, folder)
-    return models.importances(models.forest(train, 5, 20), SIGNALS, train)
+    train, _ = _parts(spark, folder, FOREST_WEIGHTS)
+    return models.importances(models.forest(train), SIGNALS, train)
 
 
 @add("gbt_classifier")
 def gbt_classifier(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _parts(spark, folder)
-    return models.judged(models.boosted(train, 5), test)
+    return models.judged(models.boosted(train), test)
 
 
 @add("parameter_search")

@@ -139,6 +139,17 @@ def test_lof_searches_all_rows_and_leaves_each_itself_out(spark):
     assert [r.lof for r in outliers.lof_scores(df.limit(1), "id", "v").collect()] == [1.0]
 
 
+def test_tree_queries_run_over_the_settings_of_the_reference(spark, folder, monkeypatch):
+    assert sorted(r.depth for r in learned.tree_depth_sweep(spark, folder).collect()) == list(range(1, 20))
+    made, forest, boosted = [], learned.models.forest, learned.models.boosted
+    monkeypatch.setattr(learned.models, "forest", lambda train, *a: made.append((train, forest(train, *a))) or made[-1][1])
+    monkeypatch.setattr(learned.models, "boosted", lambda train, *a: made.append((train, boosted(train, *a))) or made[-1][1])
+    for query in (learned.rf_classifier, learned.feature_importance, learned.gbt_classifier):
+        query(spark, folder)
+    assert [(m.getNumTrees, m.getOrDefault("maxDepth")) for _, m in made] == [(100, 8), (100, 8), (10, 3)]
+    assert {tuple(r) for r in made[0][0].select("y", "w").distinct().collect()} == {(0.0, 0.1), (1.0, 3.0)}
+
+
 def test_forest_scores_rank_a_planted_outlier_first(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))] + [(999, 40.0, -40.0)]
