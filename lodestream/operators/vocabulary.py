@@ -22,10 +22,51 @@ SPECIAL = {"<pad>": 0, "<bos>": 1, "<eos>": 2, "<unk>": 3}
 SPLITTERS = {"char": X.characters, "word": X.tokens}
 
 
-def splitter(name: str):
+def splitter(name: str, lowercase: bool = False):
+    """A function from a text column to its tokens, of the text in lower case if asked for. An unknown name is an error; ``bpe`` needs a
+    given tokenizer file and is :func:`given_encoded`."""
     if name not in SPLITTERS:
         raise ValueError(f"unknown tokenizer {name!r}; there are {sorted(SPLITTERS)}")
-    return SPLITTERS[name]
+    return (lambda text: SPLITTERS[name](F.lower(text))) if lowercase else SPLITTERS[name]
+
+
+def given_encoded(df: DataFrame, key: str, text: str, tokenizer: str, lowercase: bool = False) -> DataFrame:
+    """``key, ids`` by the tokenizer in ``tokenizer``, the content of a public tokenizer's JSON file (merges, vocabulary, normaliser).
+
+    The file is read by the driver and sent to the tasks, so it is bounded by the vocabulary; texts are encoded a batch at a time, whole.
+    Strings of special tokens are ordinary text. A null text has null ids, an empty one none. Nothing is trained.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    given = F.lower(text) if lowercase else F.col(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_str(tokenizer)
+        coder.encode_special_tokens = True
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            found = iter(coder.encode_batch([t for t in texts if t is not None], add_special_tokens=False))
+            ids = [None if t is None else next(found).ids for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+
+    return df.select(key, given.alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+
+
+def given_decoded(df: DataFrame, key: str, ids: str, tokenizer: str) -> DataFrame:
+    """``key, text``: the texts of the ids of :func:`given_encoded`; null for null."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_str(tokenizer)
+        for b in batches:
+            lists = b.column("ids").to_pylist()
+            found = iter(coder.decode_batch([x for x in lists if x is not None], skip_special_tokens=False))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([None if x is None else next(found) for x in lists], pa.string())], names=[key, "text"])
+
+    return df.select(key, F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
 def frequent(df: DataFrame, key: str, tokens: Column, size: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ REGISTRY = Registry()
 add = REGISTRY.add
 
 TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]')"
-SIZE = 504
+#: Entries of a vocabulary, specials included, and ids of a window: the reference's defaults.
+SIZE, LENGTH = 30_000, 128
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +32,7 @@ def word_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TOP = "WITH t AS (SELECT doc_id, unnest({list}) AS token, generate_subscripts({list}, 1) AS p FROM documents), c AS (SELECT token, count(*) AS n, min((doc_id, p)) AS f FROM t GROUP BY token), v AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, f) + 3 AS INT) AS id, token, n FROM c QUALIFY id < {size})"
-WORDS, CHARS = _TOP.format(list=TOKENS, size=SIZE), _TOP.format(list="string_split(text, '')", size=100)
+WORDS, CHARS = _TOP.format(list=TOKENS, size=SIZE), _TOP.format(list="string_split(text, '')", size=30_000)
 
 
 @add("word_vocab", WORDS + " SELECT * FROM v")
@@ -36,7 +40,7 @@ def word_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return V.frequent(_docs(spark, folder), "doc_id", X.tokens(F.col("text")), SIZE)
 
 
-@add("char_vocab")
+@add("char_vocab", CHARS + " SELECT * FROM v")
 def char_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return V.frequent(_docs(spark, folder), "doc_id", X.characters(F.col("text")), 30_000)
 
@@ -60,9 +64,6 @@ def token_decode(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-LENGTH = 64
-
-
 @add(
     "next_token_windows",
     WORDS
@@ -118,7 +119,25 @@ def text_residuals(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", X.residuals(F.col("text"), "references").alias("refs"), X.residuals(F.col("text"), "headings").alias("headings"))
 
 
-@add("text_reflow")
+def _reflow_sql() -> str:
+    """Each paragraph by a list of its phrases; the phrase before decides whether a long one is set off."""
+    text = r"regexp_replace(text, '([.!?;:])\s+', '\1 <SPLIT> ', 'g')"
+    for words in X.TRIGGERS:
+        text = rf"regexp_replace({text}, '\s*(\b(?:{'|'.join(words)})\b)\s*', ' <SPLIT>\1<SPLIT> ', 'gi')"
+    starts = f"(?i)^(?:{'|'.join(w for ws in X.TRIGGERS for w in ws)})\\b"
+    blank = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
+    return (
+        _clean_sql().removesuffix(" FROM c") + f" FROM c), m AS (SELECT doc_id, {text} AS text FROM d), b AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS block, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM m),"
+        f" p AS (SELECT doc_id, i, trim(unnest(string_split(regexp_replace(block, '{blank}+', ' ', 'g'), '<SPLIT>'))) AS p, generate_subscripts(string_split(regexp_replace(block, '{blank}+', ' ', 'g'), '<SPLIT>'), 1) AS j FROM b),"
+        f" q AS (SELECT *, length(p) <= 60 OR regexp_matches(p, '[.!?;:]$') OR regexp_matches(p, '{starts}') AS alone FROM p WHERE p <> ''),"
+        " r AS (SELECT *, coalesce(lag(alone) OVER (PARTITION BY doc_id, i ORDER BY j), true) AS free FROM q),"
+        " l AS (SELECT doc_id, i, string_agg(CASE WHEN free AND NOT alone AND length(p) >= 100 THEN chr(10) ELSE '' END || p, chr(10) ORDER BY j) AS lines FROM r GROUP BY doc_id, i),"
+        " t AS (SELECT doc_id, string_agg(lines, chr(10) || chr(10) ORDER BY i) AS text FROM l GROUP BY doc_id)"
+        " SELECT doc_id, CASE WHEN m.text IS NOT NULL THEN coalesce(t.text, '') || chr(10) END AS text FROM m LEFT JOIN t USING (doc_id)"
+    ).replace(") SELECT doc_id, regexp_replace", "), d AS (SELECT doc_id, regexp_replace", 1)
+
+
+@add("text_reflow", _reflow_sql())
 def text_reflow(spark: SparkSession, folder: str) -> DataFrame:
     return _clean(spark, folder).select("doc_id", X.reflowed(X.marked(F.col("text"))).alias("text"))
 
@@ -128,12 +147,35 @@ def text_detokenize(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", X.joined(X.tokens(F.col("text"))).alias("text"))
 
 
+#: Public tokenizers: a byte-level one, and one whose merges end words.
+BPE, WORD_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/word_bpe_49k.json"
+
+
+def merges(path: str = WORD_BPE) -> list[tuple[str, str]]:
+    """The merges of a tokenizer file, in order."""
+    found = json.loads(Path(path).read_text(encoding="utf-8"))["model"]["merges"]
+    return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in found]
+
+
 @add("bpe_replay")
 def bpe_replay(spark: SparkSession, folder: str) -> DataFrame:
-    """Given merges replayed over the characters of each distinct word; the words are counted first, so each is merged once."""
-    merges = [("e", "r"), ("e", "n"), ("i", "n"), ("in", "g"), ("th", "e"), ("t", "h"), ("o", "n"), ("er", "</w>")]
-    words = written(_docs(spark, folder).select(F.explode(X.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
-    return words.select("word", "n", F.array_join(X.merged(F.concat(X.characters(F.col("word")), F.array(F.lit("</w>"))), merges), " ").alias("symbols"))
+    """The first 200 merges of a public tokenizer replayed over the characters of each distinct word; the words are counted first, so each is merged once."""
+    words = written(_docs(spark, folder).select(F.explode(X.tokens(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    symbols = X.characters(F.col("word"))
+    ended = F.concat(F.slice(symbols, 1, F.size(symbols) - 1), F.array(F.concat(F.element_at(symbols, -1), F.lit("</w>"))))
+    return words.select("word", "n", F.array_join(X.merged(ended, merges()[:200]), " ").alias("symbols"))
+
+
+@add("bpe_encode")
+def bpe_encode(spark: SparkSession, folder: str, path: str = BPE) -> DataFrame:
+    """Every document, whole, as ids of a given public tokenizer."""
+    return V.given_encoded(_docs(spark, folder), "doc_id", "text", Path(path).read_text(encoding="utf-8"))
+
+
+@add("bpe_decode", "SELECT doc_id, text FROM documents")
+def bpe_decode(spark: SparkSession, folder: str, path: str = BPE) -> DataFrame:
+    """Ids back to texts: byte-level merges lose nothing."""
+    return V.given_decoded(bpe_encode(spark, folder, path), "doc_id", "ids", Path(path).read_text(encoding="utf-8"))
 
 
 @add("hash_ids", "SELECT doc_id, md5(lang || '_' || source) AS key, substr(sha1(lang || '_' || source), 1, 12) AS id FROM documents")

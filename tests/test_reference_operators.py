@@ -213,6 +213,56 @@ def test_reflow_keeps_all_words_and_the_width(spark):
     assert all(len(line) <= 100 or re.fullmatch(r"[^.!?;:]+[.!?;:]?", line) for line in out[0].o.splitlines())
 
 
+def test_reflow_sets_off_a_phrase_too_long_for_a_line(spark):
+    long, mid = "a" * 104, "b" * 70
+    cases = {f"{long}": f"\n{long}\n", f"{mid} <SPLIT> {long}": f"{mid}\n{long}\n", f"said x <SPLIT> {long} <SPLIT> {mid}\n\n \n\nend.": f"said x\n\n{long}\n{mid}\n\nend.\n", "": "\n", f"{long}.": f"{long}.\n"}
+    out = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.reflowed(F.col("t")).alias("o")).collect()
+    assert {r.t: r.o for r in out} == cases
+    with pytest.raises(ValueError):
+        X.reflowed(F.col("t"), 200)
+
+
+def _replayed(symbols, merges):
+    for a, b in merges:
+        done, i = [], 0
+        while i < len(symbols):
+            hit = symbols[i : i + 2] == [a, b]
+            done.append(a + b if hit else symbols[i])
+            i += 1 + hit
+        symbols = done
+    return symbols
+
+
+def test_merges_equal_a_plain_replay(spark):
+    rng = random.Random(5)
+    merges = [("a", "b"), ("ab", "a"), ("b", "b"), ("a", "a"), ("aa", "b</w>"), ("bb", "ab")]
+    words = [[rng.choice("ab") for _ in range(rng.randint(1, 12))] + ["b</w>"] for _ in range(60)]
+    out = spark.createDataFrame([(w,) for w in words], "s array<string>").select("s", X.merged(F.col("s"), merges).alias("m")).collect()
+    assert all(r.m == _replayed(r.s, merges) for r in out)
+
+
+def test_given_tokenizer_round_trip_nulls_and_lower_case(spark):
+    from pathlib import Path
+
+    from lodestream.plans.words import BPE
+
+    given = Path(BPE).read_text(encoding="utf-8")
+    df = spark.createDataFrame([(1, "Größe <|endoftext|>\r\n x"), (2, ""), (3, None), (4, "ABC " * 5000)], "id long, t string")
+    ids = V.given_encoded(df, "id", "t", given)
+    back = {r.id: r.text for r in V.given_decoded(ids, "id", "ids", given).collect()}
+    assert back == {r.id: r.t for r in df.collect()}
+    low = {r.id: r.text for r in V.given_decoded(V.given_encoded(df, "id", "t", given, lowercase=True), "id", "ids", given).collect()}
+    assert low[4] == "abc " * 5000
+    assert [r.x for r in spark.createDataFrame([("Ab Ab",)], "t string").select(V.splitter("word", lowercase=True)(F.col("t")).alias("x")).collect()] == [["ab", "ab"]]
+
+
+def test_vocabulary_saved_and_loaded(spark, tmp_path):
+    df = spark.createDataFrame([(4, "a"), (5, "b")], "id int, token string")
+    V.save(df, str(tmp_path / "v"), "word", {"vocab_size": 6})
+    back, about = V.load(spark, str(tmp_path / "v"))
+    assert sorted(map(tuple, back.collect())) == [(4, "a"), (5, "b")] and about == {"name": "word", "config": {"vocab_size": 6}}
+
+
 def test_merges_are_greedy_from_the_left(spark):
     df = spark.createDataFrame([(list("aaab"),), ([],), (None,)], "s array<string>")
     assert [r.m for r in df.select(X.merged(F.col("s"), [("a", "a"), ("aa", "a")]).alias("m")).collect()] == [["aaa", "b"], [], None]
