@@ -10,18 +10,6 @@ from hypothesis import strategies as st
 from lodestream.llm import packing as P
 
 
-def expand(counts, capacity):
-    """Container of every position of the plan."""
-    plan, opened = P.sweep(counts, capacity)
-    total = sum(counts.values())
-    starts = plan[:, 0]
-    out = []
-    for p in range(total):
-        k = int(np.searchsorted(starts, p, side="right")) - 1
-        out.append(int(plan[k, 1] + (p - starts[k]) // plan[k, 2]))
-    return out, opened
-
-
 def best_fit(sizes, capacity):
     gaps = []
     for s in sorted(sizes, reverse=True):
@@ -33,21 +21,29 @@ def best_fit(sizes, capacity):
     return gaps
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=120), st.integers(40, 64))
-def test_the_sweep_is_best_fit_decreasing(sizes, capacity):
-    where, opened = expand(Counter(sizes), capacity)
-    load = Counter()
-    for s, c in zip(sorted(sizes, reverse=True), where, strict=True):
-        load[c] += s
-    assert set(load) == set(range(opened)) and max(load.values(), default=0) <= capacity
-    assert sorted(capacity - v for v in load.values()) == sorted(best_fit(sizes, capacity))
-
-
-def test_the_plan_is_bounded_by_the_capacity_not_the_documents():
-    rng = np.random.default_rng(1)
-    plan, opened = P.sweep(Counter(rng.integers(1, 1025, 2_000_000).tolist()), 1024)
-    assert len(plan) <= 4 * 1024 * 11 and opened * 1024 >= 1
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.booleans(), max_size=60), st.lists(st.integers(0, 60), max_size=4))
+def test_brackets_within_and_across_ranges_equal_one_stack(opens, edges):
+    stack, want = [], set()
+    for i, o in enumerate(opens):
+        if o:
+            stack.append(i)
+        elif stack:
+            want.add((stack.pop(), i))
+    bounds = [0, *sorted(min(e, len(opens)) for e in edges), len(opens)]
+    got, left, counts = set(), {}, []
+    for part, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        x = np.array(opens[lo:hi], bool)
+        a, b = P.brackets(x)
+        got |= {(lo + int(i), lo + int(j)) for i, j in zip(a, b, strict=True)}
+        used = set(a.tolist()) | set(b.tolist())
+        documents = [lo + i for i in range(hi - lo) if i not in used and not x[i]]
+        places = [lo + i for i in range(hi - lo) if i not in used and x[i]]
+        left[part] = documents, places
+        counts.append((part, len(documents), len(places)))
+    meets, many = P._across(counts)
+    across = {(left[of][1][total - r], left[part][0][r]) for part, lo, hi, of, total in meets for r in range(lo, hi)}
+    assert len(across) == many and got | across == want
 
 
 SCHEMA = "id long, size long, container string, _size int, position int"
@@ -77,6 +73,26 @@ def test_documents_are_whole_unless_too_large(spark):
     assert all(r.used + r.unused == 100 for r in full) and sum(r.used for r in full) == total
 
 
+@pytest.mark.parametrize(("low", "high", "many"), [(1, 100, 600), (30, 55, 500), (1, 4, 900), (51, 100, 60), (26, 50, 300), (100, 100, 7)])
+def test_about_as_few_containers_as_best_fit_decreasing(spark, low, high, many):
+    sizes = np.random.default_rng(low + high).integers(low, high + 1, many).tolist()
+    rows = packed(spark, sizes).collect()
+    load = Counter()
+    for r in rows:
+        load[r.container] += r["size"]
+    assert len(rows) == many and max(load.values()) <= 100
+    assert len(load) <= 1.04 * len(best_fit(sizes, 100)) + 1
+
+
+def test_a_third_of_one_size_and_a_large_capacity(spark):
+    sizes = [333_333] * 300 + [250_000] * 200 + list(range(1, 401))
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "id long, size long")
+    load = Counter()
+    for r in P.packed(df, "id", "size", 1_000_000).collect():
+        load[r.container] += r["size"]
+    assert sum(load.values()) == sum(sizes) and max(load.values()) <= 1_000_000 and len(load) <= 152
+
+
 def test_empty_and_zero(spark):
     assert packed(spark, []).count() == 0
     assert [(r.container, r["size"]) for r in packed(spark, [0, None]).collect()] == [(0, 0), (0, 0)]
