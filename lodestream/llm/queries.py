@@ -107,10 +107,10 @@ def _closeness_sql() -> str:
     fin = {c: f"CASE WHEN isfinite({c}) THEN {c} END" for c in SCORES}
     limits = ", ".join(f"quantile_cont({x}, 0.02) AS lo{i}, quantile_cont({x}, 0.5) AS mid{i}, quantile_cont({x}, 0.98) AS hi{i}" for i, x in enumerate(fin.values()))
     clipped = ", ".join(f"least(greatest(coalesce({x}, mid{i}), lo{i}), hi{i}) AS y{i}, lo{i}, hi{i}" for i, x in enumerate(fin.values()))
-    # The norm cancels: normalised distances are divided by the normalised way from worst to best.
-    up, down = (" + ".join(f"pow({side} / (hi{i} - lo{i}), 2)" for i, side in enumerate(sides)) for sides in ([f"(hi{i} - y{i})" for i in range(4)], [f"(y{i} - lo{i})" for i in range(4)]))
-    return f"""WITH once AS (SELECT DISTINCT ON (score_id) * FROM severity_scores), limits AS (SELECT {limits} FROM once), c AS (SELECT score_id, {clipped} FROM once, limits)
-    SELECT score_id, round(sqrt({down}) / (sqrt({up}) + sqrt({down})) + 1e-9, 6) AS closeness FROM c"""
+    norms = ", ".join(f"sqrt(sum(y{i} * y{i})) AS n{i}" for i in range(4))
+    up, down = (" + ".join(f"pow({side} / n{i}, 2)" for i, side in enumerate(sides)) for sides in ([f"(hi{i} - y{i})" for i in range(4)], [f"(y{i} - lo{i})" for i in range(4)]))
+    return f"""WITH once AS (SELECT DISTINCT ON (score_id) * FROM severity_scores), limits AS (SELECT {limits} FROM once), c AS (SELECT score_id, {clipped} FROM once, limits), n AS (SELECT {norms} FROM c)
+    SELECT score_id, round(sqrt({down}) / (sqrt({up}) + sqrt({down})) + 1e-9, 6) AS closeness FROM c, n"""
 
 
 @add("p5_closeness", _closeness_sql())
@@ -166,7 +166,9 @@ def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     SELECT source FROM source_weights LEFT JOIN own USING (source) WHERE coalesce(tokens, 0) * max_repeats < target_weight * (SELECT sum(tokens) FROM own)""",
 )
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _mixed(spark, folder)[1].where(~F.col("reachable")).select("source")
+    """Sources that are in the mixture as often as they may and still short of their share of all tokens."""
+    short = (F.col("size") == F.col("own") * F.col("max_repeats")) & (F.col("size") < F.col("target_weight") * F.col("total"))
+    return _mixed(spark, folder)[1].where(short).select("source")
 
 
 @add("p9_mixture")

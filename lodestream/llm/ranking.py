@@ -2,8 +2,8 @@
 
 Each score is winsorised at two of its own quantiles (exact, from the distributed sort), divided by its vector norm,
 and weighted; a record's rank comes from its distances to the best and the worst point. A range, however large,
-cannot dominate: outliers end at the winsor limits and the norm takes the unit out. A long tail still stretches a
-normalised score, so by default the weights are those that make the way from worst to best equally long in each.
+cannot dominate: outliers end at the winsor limits and the norm takes the unit out, so a score in other units ranks alike.
+All scores weigh the same unless weights are given.
 """
 
 from __future__ import annotations
@@ -23,22 +23,19 @@ def closeness(df: DataFrame, scores: Sequence[str], limits: tuple[float, float]
     """``df`` with ``to_ideal``, ``to_worst``, ``closeness`` (0 to 1, higher leads) and ``missing`` (scores without a finite value).
 
     A missing score takes the median of its column, so it neither leads nor trails by it. A column that is constant or
-    empty adds no distance; if all are, closeness is 0.5. ``weights`` multiply the balanced ones (1 where not given). A record has distance 0 to the ideal exactly if each
+    empty adds no distance; if all are, closeness is 0.5. ``weights`` are 1 where not given. A record has distance 0 to the ideal exactly if each
     score is at or above the upper winsor limit. Only two limits, a median and a norm per score reach the driver.
     """
     points = {"lo": limits[0], "mid": 0.5, "hi": limits[1]}
     found = {r["field"]: r for r in quantiles(melted(df, [], scores), ["field"], "value", points).collect()}  # a row per score
     clipped = {c: F.least(F.greatest(F.coalesce(finite(F.col(c)), F.lit(r["mid"])), F.lit(r["lo"])), F.lit(r["hi"])) for c, r in found.items()}
     norms = df.agg(*[F.sqrt(F.sum(x * x)).alias(c) for c, x in clipped.items()]).first().asDict() if clipped else {}
-    share = {c: float((weights or {}).get(c, 1.0)) for c in scores}
-    whole = sum(share.values()) or 1.0
     up, down = [], []
     for c, r in found.items():
         if r["hi"] > r["lo"] and norms[c]:
-            normalised = (r["hi"] - r["lo"]) / norms[c]
-            scale = share[c] / whole / normalised / norms[c]
-            up.append(F.pow((F.lit(r["hi"]) - clipped[c]) * F.lit(scale), 2))
-            down.append(F.pow((clipped[c] - F.lit(r["lo"])) * F.lit(scale), 2))
+            scale = F.lit(float((weights or {}).get(c, 1.0)) / norms[c])
+            up.append(F.pow((F.lit(r["hi"]) - clipped[c]) * scale, 2))
+            down.append(F.pow((clipped[c] - F.lit(r["lo"])) * scale, 2))
     add = lambda xs: F.sqrt(reduce(lambda a, b: a + b, xs, F.lit(0.0)))
     missing = reduce(lambda a, b: a + b, [F.when(finite(F.col(c)).isNull(), 1).otherwise(0) for c in scores])
     both = F.col("to_ideal") + F.col("to_worst")

@@ -33,7 +33,8 @@ def test_shares_caps_and_order(spark, docs):
     by = {r.source: r for r in report.collect()}
     assert set(by) == {"big", "small", "absent"} and by["big"].total == 43060
     assert (by["big"].reachable, by["small"].reachable, by["absent"].reachable) == (True, False, False)
-    assert abs(by["big"]["size"] / by["big"].total - 0.5) < 0.03 and by["small"]["size"] == 6000 and by["absent"].documents == 0
+    assert by["small"]["size"] == 6000 and by["absent"].documents == 0 and by["absent"].target_share is None
+    assert abs(by["big"].target_share - 0.625) < 1e-9 and abs(by["big"].actual_share - 0.625) <= by["big"].tolerance < 0.06
     assert abs(sum(r.actual_share for r in by.values()) - 1) < 1e-9
     rows = mixture.collect()
     seen = {}
@@ -48,6 +49,28 @@ def test_shares_caps_and_order(spark, docs):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
 
 
+def test_reachable_sources_reach_their_share_of_the_mixture(spark):
+    many = {"a": 3000, "b": 1500, "c": 900, "d": 60}
+    df = spark.createDataFrame([(i, s, 5 + i % 40, "x", 1) for i, s in enumerate(s for s, n in many.items() for _ in range(n))], SCHEMA)
+    weights = [("a", 0.2, 2), ("b", 0.3, 2), ("c", 0.4, 4), ("d", 0.1, 3)]
+    table = spark.createDataFrame(weights, "source string, target_weight double, max_repeats int")
+    by = {r.source: r for r in M.mixed(df, table, "id", "source", "size")[1].collect()}
+    assert [by[s].reachable for s in "abcd"] == [True, True, True, False]
+    for s in "abc":
+        assert abs(by[s].actual_share - by[s].target_share) <= by[s].tolerance < 0.08
+        assert by[s].rate <= by[s].max_repeats
+    assert by["d"]["size"] == 3 * by["d"].own
+    whole = {r.source: r for r in M.mixed(df, table, "id", "source", "size", shrink=False)[1].collect()}
+    assert abs(whole["c"]["size"] / whole["c"].total - 0.4) < 0.04 and whole["c"]["size"] > by["c"]["size"]
+
+
+def test_the_spread_of_the_repeats():
+    steps = M.capped_poisson(1.3, 3)
+    chances = [a - b for a, b in zip([*steps, 1.0], [0.0, *steps], strict=True)]
+    mean = sum(k * p for k, p in enumerate(chances))
+    assert abs(M.spread(steps) - sum(p * (k - mean) ** 2 for k, p in enumerate(chances))) < 1e-9 and M.spread([0.0, 0.0]) == 0
+
+
 def test_empty_tables(spark, docs):
     weights = spark.createDataFrame(WEIGHTS, "source string, target_weight double, max_repeats int")
     mixture, report = M.mixed(docs.limit(0), weights, "id", "source", "size")

@@ -26,8 +26,7 @@ def brute(data, limits=(0.02, 0.98)):
     lo, mid, hi = (np.nanquantile(x, q, axis=0) for q in (limits[0], 0.5, limits[1]))
     y = np.clip(np.where(np.isnan(x), mid, x), lo, hi)
     norm = np.sqrt((y**2).sum(0))
-    weight = 1 / ((hi - lo) / norm)
-    up, down = (np.sqrt((((e - y) / norm * weight / 3) ** 2).sum(1)) for e in (hi, lo))
+    up, down = (np.sqrt((((e - y) / norm) ** 2).sum(1)) for e in (hi, lo))
     return down / (up + down)
 
 
@@ -42,6 +41,13 @@ def test_closeness_equals_numpy(spark, data):
     assert got[5].position > 10 and [got[i].missing for i in (9, 10, 11, 12)] == [0, 1, 1, 1]
 
 
+def test_the_unit_of_a_score_does_not_matter(spark, data):
+    df = spark.createDataFrame([tuple(r) for r in data], SCHEMA)
+    scaled = df.withColumn("b", df.b * 1e-4).withColumn("c", df.c * 5e3)
+    one, other = ({r.id: r.closeness for r in K.closeness(x, COLS).collect()} for x in (df, scaled))
+    assert np.allclose([one[i] for i in sorted(one)], [other[i] for i in sorted(one)], atol=1e-9)
+
+
 def test_weights_shift_the_ranking(spark, data):
     df = spark.createDataFrame([tuple(r) for r in data], SCHEMA)
     only = K.closeness(df, COLS, weights={"a": 1.0, "b": 0.0, "c": 0.0}).orderBy("closeness").collect()
