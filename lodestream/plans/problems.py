@@ -158,21 +158,23 @@ def p7_trailing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(*[shown(c).alias(c) for c in rows.columns])
 
 
+CANDIDATES = ["device_id", "app_id", "session_count", "_day", "_hour"]
+
+
 def _fields() -> list[fill.Field]:
-    """A value is missing if null or NaN, below zero in the times, not positive in app_id; a mean takes times up to a day."""
+    """A value is missing if null or NaN, below zero in the times, not positive in app_id; a median takes times up to a day."""
     time = lambda c: F.coalesce(F.isnan(c) | (F.col(c) < 0), F.lit(True))
-    keys = [("device_id",), ("_day", "_hour"), ("device_id", "session_count")]
     groups = [("device_id",), ("app_id", "_hour"), ("app_id",), ()]
     return [
-        fill.Field("app_id", F.coalesce(F.col("app_id") <= 0, F.lit(True)), [("device_id",), ("_day", "_hour"), ("_hour",)], [("_day", "_hour"), ()]),
-        fill.Field("session_time", time("session_time"), keys, groups, True, 0.0, 86400.0),
-        fill.Field("expanding_mean_session_time", time("expanding_mean_session_time"), keys, groups, True, 0.0, 86400.0),
+        fill.Field("app_id", F.coalesce(F.col("app_id") <= 0, F.lit(True)), [("_day", "_hour"), ()]),
+        fill.Field("session_time", time("session_time"), groups, True, 0.0, 86400.0),
+        fill.Field("expanding_mean_session_time", time("expanding_mean_session_time"), groups, True, 0.0, 86400.0),
     ]
 
 
 def _filled(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "hourly_features").select("feature_id", "app_id", "device_id", "session_count", "session_time", "expanding_mean_session_time", day().alias("_day"), hour().alias("_hour"))
-    return fill.filled(rows, _fields())
+    return fill.filled(rows, _fields(), CANDIDATES, "feature_id")
 
 
 @add(
@@ -183,11 +185,35 @@ def _filled(spark: SparkSession, folder: str) -> DataFrame:
     FROM hourly_features) WHERE field IS NOT NULL""",
 )
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that a dictionary or a group has filled."""
     rows = _filled(spark, folder)
-    marks = F.array(*[F.when(F.col(f"{f.name}_from").isNotNull(), F.lit(f.name)) for f in _fields()])
+    marks = F.array(*[F.when(F.col(f"{f.name}_from") != "none", F.lit(f.name)) for f in _fields()])
     return rows.select("feature_id", F.explode(marks).alias("field")).where(F.col("field").isNotNull()).distinct()
 
 
-@add("p3_filled")
+def _filled_sql() -> str:
+    """One dependency holds, device -> app; whether it does is counted here too. Medians are the lower of two middle values."""
+    times = ["session_time", "expanding_mean_session_time"]
+    mid = ", ".join(f"quantile_disc(CASE WHEN {c} <= 86400 THEN {c} END, 0.5) AS {c}" for c in times)
+    out = ""
+    for c in times:
+        tries = [(f"d.{c}", "group:device_id"), (f"h.{c}", "group:app_id,_hour"), (f"a.{c}", "group:app_id"), (f"w.{c}", "all")]
+        out += f", coalesce(f.{c}, {', '.join(t for t, _ in tries)}) AS {c}, CASE WHEN f.{c} IS NULL THEN CASE " + " ".join(f"WHEN {t} IS NOT NULL THEN '{n}'" for t, n in tries) + f" ELSE 'none' END END AS {c}_from"
+    return f"""WITH r AS (SELECT feature_id, CASE WHEN app_id > 0 THEN app_id END AS app_id, device_id, session_count, {', '.join(f"CASE WHEN {c} >= 0 AND NOT isnan({c}) THEN {c} END AS {c}" for c in times)},
+        TRY_CAST(replace(substr(trim(date), 1, 10), '/', '-') AS DATE) AS day, TRY_CAST(hour AS INT) AS hour FROM hourly_features),
+    o AS (SELECT DISTINCT ON (feature_id) * FROM r),
+    c AS (SELECT device_id, app_id, count(*) AS n FROM o WHERE device_id IS NOT NULL AND app_id IS NOT NULL GROUP BY ALL),
+    v AS (SELECT device_id, count(*) AS many, max(n) AS top, sum(n) AS rows, any_value(app_id) AS app FROM c GROUP BY device_id),
+    x AS (SELECT device_id, app FROM v WHERE many = 1 AND (SELECT sum(top) / sum(rows) FROM v) >= 0.99),
+    m AS (SELECT day, hour, app_id AS app FROM (SELECT day, hour, app_id, count(*) AS n FROM o WHERE app_id IS NOT NULL GROUP BY ALL) WHERE day IS NOT NULL AND hour IS NOT NULL QUALIFY row_number() OVER (PARTITION BY day, hour ORDER BY n DESC, app_id DESC) = 1),
+    u AS (SELECT app_id AS app FROM o WHERE app_id IS NOT NULL GROUP BY app_id ORDER BY count(*) DESC, app_id DESC LIMIT 1),
+    f AS (SELECT r.* REPLACE (coalesce(r.app_id, x.app, m.app, u.app) AS app_id), CASE WHEN r.app_id IS NULL THEN CASE WHEN x.app IS NOT NULL THEN 'fd:device_id' WHEN m.app IS NOT NULL THEN 'group:_day,_hour' WHEN u.app IS NOT NULL THEN 'all' ELSE 'none' END END AS app_id_from
+        FROM r LEFT JOIN x USING (device_id) LEFT JOIN m USING (day, hour) LEFT JOIN u ON true),
+    d AS (SELECT device_id, {mid} FROM o GROUP BY device_id), h AS (SELECT app_id, hour, {mid} FROM o GROUP BY ALL), a AS (SELECT app_id, {mid} FROM o GROUP BY app_id), w AS (SELECT {mid} FROM o)
+    SELECT f.feature_id, f.app_id, f.device_id, f.session_count, f.day, f.hour, f.app_id_from{out}
+    FROM f LEFT JOIN d USING (device_id) LEFT JOIN h ON h.app_id = f.app_id AND h.hour = f.hour LEFT JOIN a ON a.app_id = f.app_id LEFT JOIN w ON true"""
+
+
+@add("p3_filled", _filled_sql())
 def p3_filled(spark: SparkSession, folder: str) -> DataFrame:
     return _filled(spark, folder).withColumnsRenamed({"_day": "day", "_hour": "hour"})

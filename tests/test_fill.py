@@ -10,11 +10,14 @@ SCHEMA = "id long, dev long, app long, h int, x double, _value string, app_from
 
 def fields():
     return [
-        L.Field("app", F.col("app").isNull(), [("dev",), ("h",), ("id",)], [("h",), ()]),
-        L.Field("x", F.coalesce(F.isnan("x") | (F.col("x") < 0), F.lit(True)), [("dev",), ("dev", "app")], [("dev",), ("app",), ()], True, 0.0, 100.0),
+        L.Field("app", F.col("app").isNull(), [("h",), ()]),
+        L.Field("x", F.coalesce(F.isnan("x") | (F.col("x") < 0), F.lit(True)), [("dev",), ("app",), ()], True, 0.0, 100.0),
     ]
 
 
+COLUMNS = ["dev", "h", "id"]
+
+
 @pytest.fixture(scope="module")
 def rows():
     out = []
@@ -26,7 +29,7 @@ def rows():
         (101, 9, None, 0, float("nan"), "keep", None, 1),  # a device that nobody else has
         (102, None, None, None, None, "keep", None, 1),  # nothing to go by
         (103, 2, 20, 1, -1.0, "keep", None, 1),
-        (104, 2, 20, 1, 1e9, "keep", None, 1),  # implausible, but not missing; it enters no mean
+        (104, 2, 20, 1, 1e9, "keep", None, 1),  # implausible, but not missing; it enters no median
         (105, 0, 10, 1, 5.0, "keep", None, 1), (106, 0, 20, 1, 5.0, "keep", None, 1), (107, 0, None, 1, 5.0, "keep", None, 1),  # an ambiguous device
     ]
     return out + out[:5]
@@ -34,7 +37,7 @@ def rows():
 
 def test_fills_with_origin(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    got = L.filled(df, fields(), confidence=0.95)
+    got = L.filled(df, fields(), COLUMNS, confidence=0.95)
     assert got.count() == len(rows) and got.columns == [*[c for c in df.columns if c != "app_from"], "app_from", "x_from"]
     by = {r.id: r for r in got.collect()}
     assert (by[100].app, by[100].app_from) == (10, "fd:dev")
@@ -48,10 +51,10 @@ def test_fills_with_origin(spark, rows):
 
 def test_a_dependency_is_verified(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    found = L.mine(df, fields()[:1], confidence=0.95)
+    found = L.mine(df, fields()[:1], COLUMNS, confidence=0.95)
     assert [d.determinant for d in found["app"]] == [("dev",)]  # neither h (no dependency) nor id (a key)
     assert 0 not in [r.dev for r in found["app"][0].dictionary.collect()]
-    assert L.mine(df, fields()[:1], confidence=1.0) == {}
+    assert L.mine(df, fields()[:1], COLUMNS, confidence=1.0) == {}
 
 
 def test_a_few_strays_leave_a_large_dependency(spark):
@@ -59,7 +62,7 @@ def test_a_few_strays_leave_a_large_dependency(spark):
     dev, turn = F.col("id") % 9000, F.floor(F.col("id") / 9000)
     stray = (turn == 0) & (dev % 100 < 35)
     df = spark.range(360_000).select("id", dev.alias("dev"), F.when(~((turn == 1) & (dev == 99)), F.when(stray, -F.col("id") - 1).otherwise(dev * 10)).alias("app"))
-    one = [L.Field("app", F.col("app").isNull(), [("dev",), ("id",)], [()])]
+    one = [L.Field("app", F.col("app").isNull(), [()], determinants=[("dev",), ("id",)])]
     found = L.mine(df, one)
     assert [d.determinant for d in found["app"]] == [("dev",)] and 0.99 <= found["app"][0].confidence < 0.992
     got = L.filled(df, one).where("app_from IS NOT NULL").collect()
@@ -71,3 +74,38 @@ def test_empty_and_hopeless_tables(spark, rows):
     assert L.filled(df.limit(0), fields()).count() == 0
     bare = df.withColumn("x", F.lit(None).cast("double"))
     assert {(r.x, r.x_from) for r in L.filled(bare, fields()).collect()} == {(None, "none")}
+
+
+@pytest.mark.parametrize("devices", [500, 2000, 8000, 20000])
+def test_the_same_dependency_at_every_size(spark, devices):
+    """Thirty rows a device, the app right in 99.3 percent of them."""
+    dev = F.col("id") % devices
+    wrong = F.pmod(F.xxhash64("id"), F.lit(1000)) < 7
+    df = spark.range(30 * devices).select("id", dev.alias("dev"), (F.col("id") % 24).alias("h"), F.when(wrong, F.col("id") % 11 + 1000).otherwise(dev % 37).alias("app"))
+    found = L.mine(df, [L.Field("app", F.col("app").isNull(), [()])], ["dev", "h", "id"])
+    assert [d.determinant for d in found["app"]] == [("dev",)] and 0.992 < found["app"][0].confidence < 0.9945
+
+
+def test_two_columns_only_where_neither_holds_alone(spark):
+    df = spark.range(6000).select("id", (F.col("id") % 50).alias("a"), F.floor(F.col("id") / 50).cast("long").alias("b"))
+    df = df.withColumn("b", F.col("b") % 7).withColumn("y", F.pmod(F.xxhash64("a", "b"), F.lit(1000))).withColumn("z", F.col("a") * 3)
+    found = L.mine(df, [L.Field("y", F.col("y").isNull(), [()]), L.Field("z", F.col("z").isNull(), [()])], ["a", "b", "id"])
+    assert [d.determinant for d in found["y"]] == [("a", "b")] and [d.determinant for d in found["z"]] == [("a",)]
+    assert L.mine(df.limit(0), [L.Field("y", F.col("y").isNull(), [()])], ["a", "b"]) == {}
+
+
+def test_held_out_values_come_back(spark):
+    """A tenth of the values is taken away: categories come back right, numbers close to their device's level, spikes or not; repeats count once."""
+    dev = (F.col("id") % 40).alias("dev")
+    level = F.pow(F.lit(2.0), F.col("dev") % 8) * 10
+    rows = spark.range(8000).select("id", dev).withColumns({"app": F.col("dev") % 6 + 1, "h": F.col("id") % 24, "x": level * (0.9 + F.pmod(F.xxhash64("id"), F.lit(200)) / 1000)})
+    rows = rows.withColumn("x", F.when(F.col("id") % 53 == 0, 80_000.0).otherwise(F.col("x")))
+    rows = rows.unionByName(rows.where("id % 53 = 0")).unionByName(rows.where("id % 53 = 0"))
+    gone = F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(10)) == 0
+    masked = rows.withColumns({"app": F.when(~gone, F.col("app")), "x": F.when(~gone, F.col("x"))})
+    wanted = [L.Field("app", F.col("app").isNull(), [("h",), ()]), L.Field("x", F.col("x").isNull(), [("dev",), ("app",), ()], True, 0.0, 86400.0)]
+    got = L.filled(masked, wanted, ["dev", "h", "id"], "id")
+    both = got.dropDuplicates(["id"]).where("app_from IS NOT NULL").join(rows.dropDuplicates(["id"]).select("id", F.col("app").alias("a"), F.col("x").alias("y")), "id").where("y < 80000").collect()
+    assert len(both) > 600 and all(r.app == r.a and r.app_from == "fd:dev" and r.x_from == "group:dev" for r in both)
+    assert max(abs(r.x - r.y) / r.y for r in both) < 0.15
+    assert got.where("app IS NULL OR x IS NULL").count() == 0
