@@ -194,7 +194,23 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
-@add("p10_shared")
+@add(
+    "p10_shared",
+    """WITH span AS (SELECT limit_value AS n FROM text_limits WHERE limit_name = 'min_span_chars'),
+    grams AS (SELECT doc_id, i, n, md5(substr(text, i, n)) AS h FROM (SELECT doc_id, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM documents, span WHERE length(text) >= n)),
+    common AS (SELECT h FROM grams GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+    steps AS (SELECT doc_id, n, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS step FROM grams SEMI JOIN common USING (h)),
+    covered AS (SELECT doc_id, sum(least(coalesce(step, n), n)) AS chars, count(CASE WHEN coalesce(step, n + 1) > n THEN 1 END) AS spans FROM steps GROUP BY doc_id),
+    whole AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '-' || doc_id)) AS class, count(*) OVER (PARTITION BY coalesce(text, '-' || doc_id)) AS copies, coalesce(length(text), 0) AS n_chars FROM documents)
+    SELECT doc_id, class, copies, CAST(n_chars AS INT) AS n_chars, coalesce(spans, 0) AS spans, CAST(coalesce(chars, 0) AS BIGINT) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(chars, 0) / n_chars ELSE 0.0 END AS shared FROM whole LEFT JOIN covered USING (doc_id)""",
+)
 def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return spans.shared_parts(docs, "doc_id", "text", _limit(spark, folder, "min_span_chars"))
+
+
+@add("p10_members")
+def p10_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Which classes of equal texts have which spans: a row per member, not per pair."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spans.span_members(docs, "doc_id", "text", _limit(spark, folder, "min_span_chars"))

@@ -7,11 +7,13 @@
    characters holds one whole chunk that both texts cut alike. Chunks are deduplicated by digest; a digest that occurs in
    one text only is dropped.
 3. Around the chunks that remain, every window of ``least`` characters gets a digest. A window found in two texts is a shared
-   span. Two texts are linked once per common stretch, at its start, where the characters before it differ.
-4. The characters of the linked windows are compared.
+   span; its members are kept where a common stretch begins, that is where the characters before it differ.
+4. Characters decide: members belong together if their windows are equal as text, and shared parts are compared with the text that
+   represents their windows, a run at a time. Digests only choose what is compared.
 
-All steps are linear in the text and the links; nothing is capped. Texts that are equal as a whole count as one: chunks and windows
-of copies are not compared with one another, and their pairs are made only where a result of pairs is asked for.
+Membership (:func:`span_members`) and shared parts are linear in the text. Texts that are equal as a whole count as one: chunks and windows
+of copies are not compared with one another. Pairs are made only where a result of pairs is asked for: n texts below one header are n
+members of one span, and n * (n - 1) / 2 pairs. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -68,9 +70,9 @@ class Prefix:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
         self.back = _powers(pow(_BASE, -1, 1 << 64), len(chars) + 1)
 
-    def digest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def digest(self, start: np.ndarray, end: np.ndarray, bits: int = 64) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.back[start]
-        return _mixed(raw ^ (end - start).astype(np.uint64)).view(np.int64)
+        return (_mixed(raw ^ (end - start).astype(np.uint64)) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def gear(chars: np.ndarray) -> np.ndarray:
@@ -165,7 +167,7 @@ def _chunk_rows(least: int, window: int):
     return run
 
 
-def _gram_rows(least: int):
+def _gram_rows(least: int, bits: int):
     """A row per window of ``least`` characters that holds a listed chunk: digest, text, and start and character before in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +187,16 @@ def _gram_rows(least: int):
                 for batch in _pieces(codes, 1, least):
                     chars, _, _, _, offsets = _joined(codes, batch)
                     prefix = Prefix(chars)
+                    at, doc, first = [], [], []
                     for k, (i, start, _, own, stop) in enumerate(batch):
                         w = wanted[i]
-                        w = w[(w >= own) & (w < stop)]
-                        if not len(w):
-                            continue
-                        at = w - start + offsets[k]
-                        prior = np.where(w > 0, chars[np.maximum(at - 1, 0)], _NONE).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(prefix.digest(at, at + least)), pa.array(np.full(len(w), ids[i], np.int64)), pa.array((w.astype(np.int64) << 21) | prior)], names=["gram", "doc", "place"]
-                        )
+                        w = w[(w >= own) & (w < stop)].astype(np.int64)
+                        at.append(w - start + offsets[k])
+                        doc.append(np.full(len(w), ids[i], np.int64))
+                        first.append(w)
+                    at, doc, first = (np.concatenate(x) for x in (at, doc, first))
+                    prior = np.where(first > 0, chars[np.maximum(at - 1, 0)], _NONE).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(prefix.digest(at, at + least, bits)), pa.array(doc), pa.array((first << 21) | prior)], names=["gram", "doc", "place"])
 
     return run
 
@@ -207,7 +209,7 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _grams(texts: DataFrame, least: int, window: int) -> DataFrame:
+def _grams(texts: DataFrame, least: int, window: int, bits: int = 64) -> DataFrame:
     """Windows that may be shared, of one text per class of copies: ``gram, doc, place``, written."""
     long = texts.where(F.col("n") >= least)
     cut = written(long.select("doc", "t1", "t2", "text").mapInArrow(_chunk_rows(least, window), _CHUNKS), "chunks")
@@ -219,30 +221,28 @@ def _grams(texts: DataFrame, least: int, window: int) -> DataFrame:
     one = near.groupBy("t1", "t2").agg(F.min("doc").alias("doc")).select("doc")
     near = near.join(one, "doc", "left_semi").select("doc", "firsts", "sizes")
     rows = long.select("doc", "text").join(small(written(near, "places"), 500_000, F.size("firsts")), "doc")
-    return written(rows.mapInArrow(_gram_rows(least), "gram long, doc long, place long"), "grams")
+    return written(rows.mapInArrow(_gram_rows(least, bits), "gram long, doc long, place long"), "grams")
 
 
-def _links(grams: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """``a, b`` (a < b): texts, one per class of copies, with a common window."""
-    prior = F.col("place").bitwiseAND(F.lit(_NONE))
-    rows = grams.withColumn("prior", prior)
+def _members(grams: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """``span, span_at, doc, at, prior``: windows where a common stretch begins, by the first place that has the same characters; written."""
+    rows = grams.withColumn("prior", F.col("place").bitwiseAND(F.lit(_NONE)))
     # Windows where a common stretch can begin: in two texts, and not always after the same character.
     forks = rows.groupBy("gram").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("prior").alias("p0"), F.max("prior").alias("p1"))
     forks = written(forks.where((F.col("d0") != F.col("d1")) & ((F.col("p0") != F.col("p1")) | (F.col("p1") == _NONE))).select("gram"), "forks")
     starts = written(rows.join(small(forks, 200_000), "gram", "left_semi").select("gram", "doc", F.shiftright("place", 21).cast("int").alias("at"), "prior"), "starts")
-    x, y = starts.toDF("gram", "a", "i", "p"), starts.toDF("gram", "b", "j", "q")
-    pairs = x.join(y, "gram").where((F.col("a") < F.col("b")) & ((F.col("p") != F.col("q")) | (F.col("p") == _NONE)))
-    pairs = written(pairs.groupBy("a", "b", "gram").agg(F.min(F.struct("i", "j")).alias("w")).select("a", "b", "w.i", "w.j"), "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    bodies = written(texts.select("doc", "text").join(small(written(used, "used")), "doc", "left_semi"), "bodies")
+    shown = texts.select("doc", "text").join(small(starts, 200_000), "doc")
+    shown = written(shown.select("gram", "doc", "at", "prior", F.substring("text", F.col("at") + 1, F.lit(least)).alias("window")), "windows")
+    first = shown.groupBy("gram", "window").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("doc").alias("last")).where(F.col("f.doc") != F.col("last"))
+    first = small(written(first.select("gram", "window", F.col("f.doc").alias("span"), F.col("f.at").alias("span_at")), "first"), 50_000)
+    return written(shown.join(first, ["gram", "window"]).select("span", "span_at", "doc", "at", "prior"), "members")
 
-    def spans(side: str, at: str) -> DataFrame:
-        return bodies.select(F.col("doc").alias(side), F.col("text").alias(f"text_{at}"))
 
-    cutout = lambda at: F.substring(f"text_{at}", F.col(at) + 1, F.lit(least))
-    one = pairs.join(spans("a", "i"), "a").select("a", "b", "j", cutout("i").alias("s"))
-    both = one.join(spans("b", "j"), "b").where(F.col("s") == cutout("j"))
-    return both.select("a", "b").distinct()
+def _links(members: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): texts, one per class of copies, with a common window; the pairs of each span's members."""
+    x, y = members.toDF("span", "span_at", "a", "i", "p"), members.toDF("span", "span_at", "b", "j", "q")
+    pairs = x.join(y, ["span", "span_at"]).where((F.col("a") < F.col("b")) & ((F.col("p") != F.col("q")) | (F.col("p") == _NONE)))
+    return pairs.select("a", "b").distinct()
 
 
 def _classes(texts: DataFrame) -> DataFrame:
@@ -252,15 +252,27 @@ def _classes(texts: DataFrame) -> DataFrame:
     return written(keys.join(groups, ["t1", "t2"]).select("doc", "n", "rep", "copies"), "classes")
 
 
-def shared_pairs(df: DataFrame, key: str, text: str, least: int, window: int = WINDOW) -> DataFrame:
+def span_members(df: DataFrame, key: str, text: str, least: int, window: int = WINDOW, bits: int = 64) -> DataFrame:
+    """``span, span_at, class, at``: every class of equal texts that has the ``least`` characters which stand at ``span_at`` in text ``span``.
+
+    A class is named by its smallest key, as in :func:`shared_parts`, which gives each document's class. Two classes share a stretch exactly
+    if they are members of one span. There is a row per member and place where a common stretch begins, however many others share it.
+    """
+    texts = _texts(df, key, text)
+    return _members(_grams(texts, least, window, bits), texts, least).select("span", "span_at", F.col("doc").alias("class"), "at")
+
+
+def shared_pairs(df: DataFrame, key: str, text: str, least: int, window: int = WINDOW, bits: int = 64) -> DataFrame:
     """``a, b``, a < b: every pair of documents with a common stretch of ``least`` or more characters (code points).
 
+    ``bits`` of the windows' digests: fewer make more collisions, which the comparison of characters has to sort out.
+
     Copies of one text are compared once and expanded at the end, because the result is asked for in pairs. Stretches that only one
     document repeats don't count. Null keys, null texts and texts shorter than ``least`` have no pair. Keys are unique whole numbers.
     """
     texts = _texts(df, key, text)
     members = _classes(texts).where(F.col("n") >= least)
-    links = _links(_grams(texts, least, window), texts, least)
+    links = _links(_members(_grams(texts, least, window, bits), texts, least))
     of = lambda name, rep: members.select(F.col("doc").alias(name), F.col("rep").alias(rep))
     across = links.join(of("x", "a"), "a").join(of("y", "b"), "b").select("x", "y")
     many = members.where(F.col("copies") > 1)
@@ -268,7 +280,39 @@ def shared_pairs(df: DataFrame, key: str, text: str, least: int, window: int = W
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def shared_parts(df: DataFrame, key: str, text: str, least: int, window: int = WINDOW) -> DataFrame:
+def _covered(grams: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """``doc, chars, spans``: what of a text stands in another one too, with the characters compared."""
+    place = F.shiftright("place", 21).cast("int")
+    known = grams.groupBy("gram").agg(F.min(F.struct("doc", place.alias("at"))).alias("f"), F.max("doc").alias("last")).where(F.col("f.doc") != F.col("last"))
+    known = small(written(known.select("gram", F.col("f.doc").alias("rep"), F.col("f.at").alias("rep_at")), "known"), 200_000)
+    places = grams.join(known, "gram").select("gram", "doc", place.alias("at"), "rep", "rep_at")
+    others = places.where((F.col("doc") != F.col("rep")) | (F.col("at") != F.col("rep_at")))
+    # Windows that follow one another in both texts are one run: compared at once.
+    line = Window.partitionBy("doc", "rep", F.col("at") - F.col("rep_at")).orderBy("at")  # one text's windows
+    runs = others.withColumn("_run", F.col("at") - F.row_number().over(line))
+    runs = runs.groupBy("doc", "rep", (F.col("at") - F.col("rep_at")).alias("_by"), "_run").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + least).alias("n"))
+    runs = written(runs.select("doc", "rep", "at", (F.col("at") - F.col("_by")).alias("rep_at"), "n"), "runs")
+    used = written(runs.select(F.explode(F.array("doc", "rep")).alias("doc")).distinct(), "used")
+    bodies = written(texts.select("doc", "text").join(small(used), "doc", "left_semi"), "bodies")
+    one = runs.join(bodies, "doc").withColumn("s", F.substring("text", F.col("at") + 1, F.col("n"))).drop("text")
+    both = one.join(bodies.select(F.col("doc").alias("rep"), F.col("text").alias("t")), "rep")
+    same = written(both.select("doc", "rep", "at", "rep_at", "n", (F.col("s") == F.substring("t", F.col("rep_at") + 1, F.col("n"))).alias("same")), "same")
+    good = same.where("same")
+    found = good.select("doc", "at", "n").unionByName(good.where("doc <> rep").select(F.col("rep").alias("doc"), F.col("rep_at").alias("at"), "n"))
+    if same.where("NOT same").limit(1).count():  # equal digests of different windows: all windows of those digests by their characters
+        mixed = same.where("NOT same").select("doc", F.explode(F.sequence("at", F.col("at") + F.col("n") - least)).alias("at"))
+        again = places.join(places.join(mixed, ["doc", "at"]).select("gram").distinct(), "gram", "left_semi")
+        again = again.join(texts.select("doc", "text"), "doc").select("gram", "doc", "at", F.substring("text", F.col("at") + 1, F.lit(least)).alias("s"))
+        equal = again.groupBy("gram", "s").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("gram", "s")
+        found = found.unionByName(again.join(equal, ["gram", "s"], "left_semi").select("doc", "at", F.lit(least).alias("n")))
+    line = Window.partitionBy("doc").orderBy("at", "n")  # one text's runs
+    end = F.col("at") + F.col("n")
+    reached = F.coalesce(F.max(end).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    parts = found.withColumns({"_new": F.greatest(end - F.greatest(F.col("at"), reached), F.lit(0)), "_opens": (F.col("at") > reached).cast("int")})
+    return parts.groupBy("doc").agg(F.sum("_new").alias("chars"), F.sum("_opens").alias("spans"))
+
+
+def shared_parts(df: DataFrame, key: str, text: str, least: int, window: int = WINDOW, bits: int = 64) -> DataFrame:
     """A row per document: ``key, class, copies, n_chars, spans, shared_chars, shared``.
 
     ``shared_chars`` are the characters in stretches of ``least`` or more that another document has too, ``spans`` how many
@@ -277,14 +321,7 @@ def shared_parts(df: DataFrame, key: str, text: str, least: int, window: int = W
     """
     texts = _texts(df, key, text)
     classes = _classes(texts)
-    grams = _grams(texts, least, window)
-    known = grams.groupBy("gram").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where(F.col("d0") != F.col("d1")).select("gram")
-    places = grams.join(small(written(known, "known"), 200_000), "gram", "left_semi").select("doc", F.shiftright("place", 21).cast("int").alias("at"))
-    line = Window.partitionBy("doc").orderBy("at")  # one text's windows
-    step = F.lead("at").over(line) - F.col("at")
-    covered = places.withColumn("_step", step).groupBy("doc").agg(
-        F.sum(F.least(F.coalesce("_step", F.lit(least)), F.lit(least))).alias("chars"), F.count(F.when(F.coalesce("_step", F.lit(least + 1)) > least, 1)).alias("spans")
-    )
+    covered = _covered(_grams(texts, least, window, bits), texts, least)
     both = classes.join(covered.withColumnRenamed("doc", "rep"), "rep", "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= least)
     rows = both.select(

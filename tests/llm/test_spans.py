@@ -65,6 +65,33 @@ def test_parts_equal_brute_force(spark, texts):
     assert {rows[i]["class"] for i in same} == {same[0]} and {rows[i].copies for i in same} == {3}
 
 
+def test_members_link_what_pairs_link(spark, texts):
+    rows = S.span_members(frame(spark, texts), "id", "text", LEAST).collect()
+    spans: dict = {}
+    for r in rows:
+        assert texts[r["class"]][r.at : r.at + LEAST] == texts[r.span][r.span_at : r.span_at + LEAST]
+        spans.setdefault((r.span, r.span_at), set()).add(r["class"])
+    first = {t: i for i, t in reversed(list(enumerate(texts))) if t is not None}
+    want = {(first[texts[a]], first[texts[b]]) for a, b in brute(texts)[0] if texts[a] != texts[b]}
+    got = {(a, b) for m in spans.values() for a in m for b in m if a < b}
+    assert got == {(min(p), max(p)) for p in want}
+
+
+@pytest.mark.parametrize("many", [100, 200])
+def test_a_header_on_many_texts_has_a_member_a_text(spark, many):
+    rng = random.Random(many)
+    header = words(rng, 300)
+    rows = S.span_members(frame(spark, [header + words(rng, 250) for _ in range(many)]), "id", "text", LEAST)
+    assert rows.count() == many and rows.select("span", "span_at").distinct().count() == 1
+
+
+def test_characters_decide_where_digests_collide(spark, texts):
+    few = texts[:20]  # 8 bits: nearly every window collides with one of another text
+    pairs, parts = brute(few)
+    assert {(r.a, r.b) for r in S.shared_pairs(frame(spark, few), "id", "text", LEAST, bits=8).collect()} == pairs
+    assert {r.id: r.shared_chars for r in S.shared_parts(frame(spark, few), "id", "text", LEAST, bits=8).collect()} == parts
+
+
 def test_texts_longer_than_a_piece(spark, monkeypatch):
     rng = random.Random(9)
     common = words(rng, 260)
