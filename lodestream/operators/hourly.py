@@ -5,11 +5,14 @@ Grouped rows are at most one per device and hour, so the windows over a device s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.scratch import written
+
 KEYS = ["app_id", "device_id", "day", "hr"]
 DEVICE = KEYS[:2]
 
@@ -69,20 +72,28 @@ def expanding(hours: DataFrame, columns: Sequence[str]) -> DataFrame:
     return hours.withColumns(stats)
 
 
-def incremental(hours: DataFrame, history: DataFrame, column: str) -> DataFrame:
+def advanced(hours: DataFrame, history: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One new hour per device against its history: the old mean and deviation are shown, the new ones stored in ``prev_*``.
 
     The update is the exact one for a single new value, which is why ``hours`` has one row per device; for many, use
-    :func:`expanding`. Devices without history start from 0.
+    :func:`expanding`. Devices without history start from 0; a null value leaves its statistics as they were. One join for all ``columns``.
     """
-    old = history.select(*[F.col(k).alias(f"_{k}") for k in DEVICE], *[F.col(f"prev_{s}_{column}").alias(f"_{s}") for s in ("mean", "std", "count")])
+    stats = [f"prev_{s}_{c}" for c in columns for s in ("mean", "std", "count")]
+    old = history.select(*[F.col(k).alias(f"_{k}") for k in DEVICE], *[F.col(p).alias(f"_{p}") for p in stats])
     rows = hours.join(old, (F.col("app_id") == F.col("_app_id")) & (F.col("device_id") == F.col("_device_id")), "left")
-    mean, std, n = F.coalesce("_mean", F.lit(0.0)), F.coalesce("_std", F.lit(0.0)), F.coalesce("_count", F.lit(0))
-    x = F.col(column)
-    new_mean = (mean * n + x) / (n + 1)
-    new_std = F.sqrt((std * std * n + (x - mean) * (x - new_mean)) / (n + 1))
-    out = {f"expanding_mean_{column}": mean, f"expanding_std_{column}": std, f"prev_mean_{column}": new_mean, f"prev_std_{column}": new_std, f"prev_count_{column}": n + 1}
-    return rows.withColumns(out).drop("_app_id", "_device_id", "_mean", "_std", "_count")
+    out = {}
+    for c in columns:
+        mean, std, n = (F.coalesce(f"_prev_{s}_{c}", F.lit(zero)) for s, zero in (("mean", 0.0), ("std", 0.0), ("count", 0)))
+        x = F.col(c)
+        new_mean = F.when(x.isNull(), mean).otherwise((mean * n + x) / (n + 1))
+        new_std = F.when(x.isNull(), std).otherwise(F.sqrt((std * std * n + (x - mean) * (x - new_mean)) / (n + 1)))
+        out |= {f"expanding_mean_{c}": mean, f"expanding_std_{c}": std, f"prev_mean_{c}": new_mean, f"prev_std_{c}": new_std, f"prev_count_{c}": n + x.isNotNull().cast("int")}
+    return rows.withColumns(out).drop("_app_id", "_device_id", *[f"_{p}" for p in stats])
+
+
+def incremental(hours: DataFrame, history: DataFrame, column: str) -> DataFrame:
+    """:func:`advanced` for one column."""
+    return advanced(hours, history, [column])
 
 
 def z_score(x: Column, mean: Column, std: Column) -> Column:
@@ -111,23 +122,61 @@ def zero_usage(hours: DataFrame, more_than: int = 5, rows: int = 8) -> DataFrame
     return hours.withColumns({"rolling_mean_zero_bytes_Count": F.coalesce(F.avg(some).over(recent), F.lit(0.0)), "ZerobytesUsagenAnomaly": flag})
 
 
-def features(events: DataFrame, limits: DataFrame | None = None) -> DataFrame:
-    """The whole job over all hours: every (device, hour) with its measures, statistics and flags.
+COLUMNS = ["session_count", "max_shortLength", "session_time"]
+
+
+def job_hour(job: str | datetime | None = None) -> datetime:
+    """The full hour that a job at ``job`` (``yyyy-MM-dd HH:mm:ss``, or a time; now in UTC where None) works on: the one that has just ended."""
+    at = datetime.now(UTC).replace(tzinfo=None) if job is None else job if isinstance(job, datetime) else datetime.strptime(job, "%Y-%m-%d %H:%M:%S")  # noqa: DTZ007
+    return at.replace(minute=0, second=0, microsecond=0) - timedelta(hours=1)
+
+
+def at_hour(at: datetime) -> Column:
+    """Rows of one hour of :func:`hourly`."""
+    return (F.col("day") == F.lit(at.date())) & (F.col("hr") == at.hour)
+
+
+def job(events: DataFrame, history: DataFrame, last_n: DataFrame, when: str | datetime | None = None, limits: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run of the hourly job: the features of the hour that ended last, the new history and the new last seven hours.
 
-    ``limits`` (``high, low``: one row) replaces the quantiles of the differences that are otherwise taken from the batch,
-    approximately and without a second sort.
+    ``events`` are read by their arrival columns, so only two hours' folders are touched; ``history`` (:func:`latest_history`) has a row
+    per device, ``last_n`` (``app_id, device_id, day, hr, max_zero_bytes_Count``) the device's recent active hours. No earlier event is read
+    again: run hour after hour, the features equal those of :func:`expanding` and :func:`zero_usage` over everything. Devices without
+    events keep their history; all of it is stamped with the hour. ``limits``: from the hour's rows to ``high, low`` (one row), by default its
+    95 and 10 percent quantiles of the difference to the mean, from a sketch. Null ids have features but no history. The hour's rows are
+    written once.
     """
-    rows = zero_usage(expanding(hourly(events), ["session_count", "max_shortLength", "session_time"]))
+    at = job_hour(when)
+    hours = hourly(arrived(events, str(at + timedelta(hours=1)))).where(at_hour(at))
+    rows = advanced(hours, history, COLUMNS)
+    kept = last_n.select(*KEYS, "max_zero_bytes_Count").where((F.col("day") < F.lit(at.date())) | ((F.col("day") == F.lit(at.date())) & (F.col("hr") < at.hour)))
+    some = F.when(F.col("max_zero_bytes_Count") != 0, F.struct("day", "hr", F.col("max_zero_bytes_Count").alias("n"))).otherwise(F.struct("day", "hr", F.lit(None).cast("long").alias("n")))
+    recent = kept.groupBy(*DEVICE).agg(F.slice(F.sort_array(F.collect_list(some), False), 1, 7).alias("_recent"))  # a device's stored hours
+    rows = rows.join(recent, [rows[k].eqNullSafe(recent[k]) for k in DEVICE], "left").drop(*[recent[k] for k in DEVICE])
+    own = F.nullif(F.col("max_zero_bytes_Count"), F.lit(0))
+    seen = F.filter(F.concat(F.array(own), F.coalesce(F.col("_recent.n"), F.array().cast("array<bigint>"))), lambda x: x.isNotNull())
+    total = F.aggregate(seen, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    rows = rows.withColumns({"rolling_mean_zero_bytes_Count": F.when(F.size(seen) > 0, total / F.size(seen)).otherwise(0.0), "ZerobytesUsagenAnomaly": F.when(F.col("max_zero_bytes_Count") > 5, 1).otherwise(0)}).drop("_recent")
+    rows = written(rows, "hour")
     if limits is None:
         diff = F.col("session_time") - F.col("expanding_mean_session_time")
-        limits = rows.agg(F.percentile_approx(diff, 0.95, 10000).alias("high"), F.percentile_approx(diff, 0.10, 10000).alias("low"))
-    rows = rows.crossJoin(F.broadcast(limits))  # one row
+        bounds = rows.agg(F.percentile_approx(diff, 0.95, 10000).alias("high"), F.percentile_approx(diff, 0.10, 10000).alias("low"))
+    else:
+        bounds = limits(rows)
     flags = {
         "AnomalySessionCount": two_sided("session_count"),
         "shortSessionAnomaly": two_sided("max_shortLength"),
         "sessionTimeAnomalyBasedOnHistory": F.coalesce(asymmetric("session_time", F.col("high"), F.col("low")), F.lit(0)),
     }
-    return rows.withColumns(flags).drop("high", "low")
+    stamp = {"date": F.lit(str(at.date())), "hour": F.lit(f"{at.hour:02d}")}
+    stats = [f"prev_{s}_{c}" for c in COLUMNS for s in ("mean", "std", "count")]
+    features = rows.crossJoin(F.broadcast(bounds)).withColumns(flags | stamp)  # one row
+    features = features.drop("high", "low", "day", "hr", *stats, *[f"expanding_std_{c}" for c in COLUMNS])
+    known = rows.where(F.col("app_id").isNotNull() & F.col("device_id").isNotNull())
+    new = upserted(history.select(*DEVICE, "date", "hour", *stats), known.withColumns(stamp).select(*DEVICE, "date", "hour", *stats)).withColumns(stamp)
+    line = Window.partitionBy(*DEVICE).orderBy(F.col("day").desc(), F.col("hr").desc())  # at most a device's stored hours and one
+    later = kept.unionByName(known.select(kept.columns)).withColumn("_r", F.row_number().over(line)).where("_r <= 7").drop("_r")
+    return features, new, later
 
 
 def latest_history(history: DataFrame) -> DataFrame:

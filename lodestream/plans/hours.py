@@ -143,9 +143,24 @@ def expanding_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LAST = f"last_hours AS (SELECT * FROM hours WHERE app_id IS NOT NULL AND device_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY app_id, device_id ORDER BY day DESC, hr DESC) = 1)"
-_OLD = "coalesce(prev_mean_session_count, 0) AS m, coalesce(prev_std_session_count, 0) AS s, coalesce(prev_count_session_count, 0) AS n"
-_NEW = """upd AS (SELECT app_id, device_id, day, hr, session_count AS x, m, s, n, (m * n + x) / (n + 1) AS mn, sqrt((s * s * n + (x - m) * (x - mn)) / (n + 1)) AS sn
-    FROM (SELECT l.*, """ + _OLD + " FROM last_hours l LEFT JOIN history_snapshot h USING (app_id, device_id)))"
+
+
+def _new_sql(source: str, name: str) -> str:
+    """Old (m, s, n) and new (mn, sn, nn) statistics of each column of ``source``."""
+    old = ", ".join(f"coalesce(prev_mean_{c}, 0) AS m_{c}, coalesce(prev_std_{c}, 0) AS s_{c}, coalesce(prev_count_{c}, 0) AS n_{c}" for c in STATS)
+    mean = ", ".join(f"CASE WHEN {c} IS NULL THEN m_{c} ELSE (m_{c} * n_{c} + {c}) / (n_{c} + 1) END AS mn_{c}" for c in STATS)
+    rest = ", ".join(f"CASE WHEN {c} IS NULL THEN s_{c} ELSE sqrt((s_{c} * s_{c} * n_{c} + ({c} - m_{c}) * ({c} - mn_{c})) / (n_{c} + 1)) END AS sn_{c}, n_{c} + CASE WHEN {c} IS NULL THEN 0 ELSE 1 END AS nn_{c}" for c in STATS)
+    return f"{name} AS (SELECT *, {rest} FROM (SELECT *, {mean} FROM (SELECT l.*, {old} FROM {source} l LEFT JOIN history_snapshot h USING (app_id, device_id))))"
+
+
+_NEW = _new_sql("last_hours", "upd")
+_PREV = [f"prev_{s}_{c}" for c in STATS for s in ("mean", "std", "count")]
+_PREV_NEW = ", ".join(f"{r6(f'mn_{c}')} AS prev_mean_{c}, {r6(f'sn_{c}')} AS prev_std_{c}, nn_{c} AS prev_count_{c}" for c in STATS)
+_PREV_OLD = ", ".join(p if p.startswith("prev_count") else r6(p) for p in _PREV)
+
+
+def _shown(history: DataFrame) -> DataFrame:
+    return history.withColumns({c: H.nudged(F.col(c)) for c in _PREV if not c.startswith("prev_count")})
 
 
 def _last_hours(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,10 +170,10 @@ def _last_hours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _incremental(spark: SparkSession, folder: str) -> DataFrame:
-    return H.incremental(_last_hours(spark, folder), table(spark, folder, "history_snapshot"), "session_count")
+    return H.advanced(_last_hours(spark, folder), table(spark, folder, "history_snapshot"), STATS)
 
 
-@add("incremental_stats", f"WITH {HOURS}, {_LAST}, {_NEW} SELECT {_K}, {r6('m')} AS old_mean, {r6('mn')} AS new_mean, {r6('sn')} AS new_std, n + 1 AS new_count FROM upd")
+@add("incremental_stats", f"WITH {HOURS}, {_LAST}, {_NEW} SELECT {_K}, {r6('m_session_count')} AS old_mean, {r6('mn_session_count')} AS new_mean, {r6('sn_session_count')} AS new_std, nn_session_count AS new_count FROM upd")
 def incremental_stats(spark: SparkSession, folder: str) -> DataFrame:
     rows, c = _incremental(spark, folder), "session_count"
     return rows.select(*H.KEYS, H.nudged(F.col(f"expanding_mean_{c}")).alias("old_mean"), H.nudged(F.col(f"prev_mean_{c}")).alias("new_mean"), H.nudged(F.col(f"prev_std_{c}")).alias("new_std"), F.col(f"prev_count_{c}").alias("new_count"))
@@ -166,15 +181,14 @@ def incremental_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @add(
     "history_upsert",
-    f"""WITH {HOURS}, {_LAST}, {_NEW} SELECT app_id, device_id, strftime(day, '%Y-%m-%d') AS date, lpad(CAST(hr AS VARCHAR), 2, '0') AS hour, {r6('mn')} AS prev_mean_session_count, {r6('sn')} AS prev_std_session_count, n + 1 AS prev_count_session_count FROM upd
-    UNION ALL SELECT app_id, device_id, date, hour, {r6('prev_mean_session_count')}, {r6('prev_std_session_count')}, prev_count_session_count FROM history_snapshot ANTI JOIN upd USING (app_id, device_id)""",
+    f"""WITH {HOURS}, {_LAST}, {_NEW} SELECT app_id, device_id, strftime(day, '%Y-%m-%d') AS date, lpad(CAST(hr AS VARCHAR), 2, '0') AS hour, {_PREV_NEW} FROM upd
+    UNION ALL SELECT app_id, device_id, date, hour, {_PREV_OLD} FROM history_snapshot ANTI JOIN upd USING (app_id, device_id)""",
 )
 def history_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    cols = ["app_id", "device_id", "date", "hour", *[f"prev_{s}_session_count" for s in ("mean", "std", "count")]]
+    cols = ["app_id", "device_id", "date", "hour", *_PREV]
     stamp = {"date": F.date_format("day", "yyyy-MM-dd"), "hour": F.format_string("%02d", "hr")}
     new = _incremental(spark, folder).withColumns(stamp).select(*cols)
-    out = H.upserted(table(spark, folder, "history_snapshot").select(*cols), new)
-    return out.withColumns({c: H.nudged(F.col(c)) for c in cols[4:6]})
+    return _shown(H.upserted(table(spark, folder, "history_snapshot").select(*cols), new))
 
 
 @add("history_latest", "SELECT * EXCLUDE (prev_mean_session_time, prev_std_session_time, prev_mean_session_count, prev_std_session_count, prev_mean_max_shortLength, prev_std_max_shortLength) FROM (SELECT DISTINCT * FROM history_snapshot) QUALIFY row_number() OVER (PARTITION BY app_id, device_id ORDER BY prev_count_session_count DESC, date DESC, hour DESC) = 1")
@@ -294,6 +308,49 @@ def hourly_features_job(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: H.nudged(F.col(c)) for c in means})
 
 
+#: A late hour, for which the stored last hours of the test data are recent.
+LATE_JOB = "2025-03-05 12:10:00"
+_THE_HOUR = HOURS.replace("FROM session_events GROUP BY ALL", f"FROM session_events WHERE {_AT} BETWEEN TIMESTAMP '2025-03-05 11:00:00' AND TIMESTAMP '2025-03-05 12:00:00' AND event_date >= TIMESTAMP '2025-03-05 11:00:00' AND event_date < TIMESTAMP '2025-03-05 12:00:00' GROUP BY ALL")
+_HOUR_NEW = _new_sql("hours", "stated")
+_HOUR_ZERO = f"""zero_ AS (SELECT app_id, device_id, {r6('coalesce(avg(x) OVER (PARTITION BY app_id, device_id ORDER BY stamp ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 0)')} AS rolling, fresh FROM
+    (SELECT app_id, device_id, TIMESTAMP '2025-03-05 11:00:00' AS stamp, nullif(max_zero_bytes_Count, 0) AS x, 1 AS fresh FROM hours
+    UNION ALL SELECT app_id, device_id, {_LAST_AT}, nullif(max_zero_bytes_Count, 0), 0 FROM last_n_features WHERE {_LAST_AT} < TIMESTAMP '2025-03-05 11:00:00'))"""
+
+
+def _run_job(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    last_n = table(spark, folder, "last_n_features").select("app_id", "device_id", day().alias("day"), hour().alias("hr"), "max_zero_bytes_Count")
+    return H.job(_events(spark, folder), H.latest_history(table(spark, folder, "history_snapshot")), last_n, LATE_JOB, _limits)
+
+
+@add(
+    "job_features",
+    f"""WITH {_THE_HOUR}, {_HOUR_NEW}, {_HOUR_ZERO}{_LIMITS} SELECT app_id, device_id, '2025-03-05' AS date, '11' AS hour, session_count, {r6('m_session_count')} AS expanding_mean_session_count, {_flag('session_count')} AS AnomalySessionCount, max_shortLength,
+    {r6('m_max_shortLength')} AS expanding_mean_max_shortLength, {_flag('max_shortLength')} AS shortSessionAnomaly, {r6('AvgSessionLengthTime')} AS AvgSessionLengthTime, {r6('session_time')} AS session_time, {r6('m_session_time')} AS expanding_mean_session_time,
+    {_TIME_FLAG} AS sessionTimeAnomalyBasedOnHistory, max_zero_bytes_Count, rolling AS rolling_mean_zero_bytes_Count, CASE WHEN max_zero_bytes_Count > 5 THEN 1 ELSE 0 END AS ZerobytesUsagenAnomaly
+    FROM stated s JOIN (SELECT * FROM zero_ WHERE fresh = 1) z ON s.app_id IS NOT DISTINCT FROM z.app_id AND s.device_id IS NOT DISTINCT FROM z.device_id, limits""".replace("SELECT app_id, device_id, '2025", "SELECT s.app_id, s.device_id, '2025"),
+)
+def job_features(spark: SparkSession, folder: str) -> DataFrame:
+    """One run of the hourly job: the hour's events, the history and the last hours to features; no other event is read."""
+    out = _run_job(spark, folder)[0]
+    means = ["expanding_mean_session_count", "expanding_mean_max_shortLength", "AvgSessionLengthTime", "session_time", "expanding_mean_session_time", "rolling_mean_zero_bytes_Count"]
+    return out.withColumns({c: H.nudged(F.col(c)) for c in means})
+
+
+@add(
+    "job_history",
+    f"""WITH {_THE_HOUR}, {_HOUR_NEW}, known AS (SELECT * FROM stated WHERE app_id IS NOT NULL AND device_id IS NOT NULL) SELECT app_id, device_id, '2025-03-05' AS date, '11' AS hour, {_PREV_NEW} FROM known
+    UNION ALL SELECT app_id, device_id, '2025-03-05', '11', {_PREV_OLD} FROM history_snapshot ANTI JOIN known USING (app_id, device_id)""",
+)
+def job_history(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown(_run_job(spark, folder)[1])
+
+
+@add("isin_filter", "SELECT device_id, event_date, record_type FROM session_events WHERE hour IN (1, 2, 3)")
+def isin_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that arrived in given hours: the list reaches the scan."""
+    return readers.only(_events(spark, folder), "hour", [1, 2, 3]).select("device_id", "event_date", "record_type")
+
+
 def _place(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid4().hex[:12]}"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +66,8 @@ def latest_before(df: DataFrame, day: Column, hour: Column, moment: Column) -> D
     rows = df.withColumn("_at", at)
     last = rows.where(F.col("_at") < moment).agg(F.max("_at").alias("_last"))
     return rows.join(F.broadcast(last), F.col("_at") == F.col("_last")).drop("_at", "_last")  # one row
+
+
+def only(df: DataFrame, column: str, values: Sequence | None) -> DataFrame:
+    """Rows whose ``column`` is one of ``values``, all rows where None. The list becomes a scan filter; nulls never match."""
+    return df if values is None else df.where(F.col(column).isin(list(values)))

@@ -191,6 +191,42 @@ def test_char_vocab_has_all_characters(spark, tmp_path):
     assert {r.token for r in words.char_vocab(spark, str(tmp_path)).collect()} == set(text)
 
 
+def test_the_job_hour_after_hour_equals_everything_at_once(spark):
+    from datetime import datetime, timedelta
+
+    from lodestream.scratch import written
+
+    rng, rows = random.Random(6), []
+    start = datetime(2025, 1, 6, 22)
+    for h in range(5):
+        for dev in range(6):
+            for k in range(rng.choice([0, 1, 3, 9])):
+                at = start + timedelta(hours=h, minutes=rng.randrange(60))
+                zero = rng.random() < 0.6
+                rows.append((1 + dev % 2, dev or None, at, 0 if zero else 10, 0, "start", rng.choice([None, 20.0, 500.0 * rng.random()]), f"s{h}{dev}{k // 2}", at.year, at.month, at.day, at.hour))
+    schema = "app_id long, device_id long, event_date timestamp_ntz, input_bytes long, output_bytes long, record_type string, session_time double, session_id string, year int, month int, day int, hour int"
+    events = spark.createDataFrame(rows, schema)
+    limits = lambda df: df.sparkSession.createDataFrame([(50.0, -50.0)], "high double, low double")
+    stats = ", ".join(f"prev_mean_{c} double, prev_std_{c} double, prev_count_{c} long" for c in H.COLUMNS)
+    history = spark.createDataFrame([], f"app_id long, device_id long, date string, hour string, {stats}")
+    last_n = spark.createDataFrame([], "app_id long, device_id long, day date, hr int, max_zero_bytes_Count long")
+    got = []
+    for h in range(5):
+        out, history, last_n = H.job(events, history, last_n, start + timedelta(hours=h + 1, minutes=7), limits)
+        got += out.collect()
+        history, last_n = written(history), written(last_n)
+    whole = H.zero_usage(H.expanding(H.hourly(events), H.COLUMNS)).crossJoin(limits(events))
+    whole = whole.withColumns({"AnomalySessionCount": H.two_sided("session_count"), "sessionTimeAnomalyBasedOnHistory": F.coalesce(H.asymmetric("session_time", F.col("high"), F.col("low")), F.lit(0))})
+    want = {(str(r.day), r.hr, r.app_id, r.device_id): r for r in whole.where("device_id IS NOT NULL").collect()}
+    mine = {(r.date, int(r.hour), r.app_id, r.device_id): r for r in got if r.device_id is not None}
+    assert set(mine) == set(want) and len(got) > len(mine) and len(mine) > 15
+    names = ["session_count", "max_shortLength", "session_time", "AvgSessionLengthTime", "max_zero_bytes_Count", "AnomalySessionCount", "sessionTimeAnomalyBasedOnHistory", "ZerobytesUsagenAnomaly", "rolling_mean_zero_bytes_Count", *[f"expanding_mean_{c}" for c in H.COLUMNS]]
+    for k, r in mine.items():
+        assert [None if r[n] is None else round(r[n], 7) for n in names] == [None if want[k][n] is None else round(want[k][n], 7) for n in names]
+    assert H.job_hour("2025-03-05 00:10:00") == datetime(2025, 3, 4, 23) and H.job_hour().minute == 0
+    assert H.job_hour() < datetime.now(H.UTC).replace(tzinfo=None)
+
+
 def test_windows_of_the_stream(spark):
     df = spark.createDataFrame([(1, [1, 2, 3]), (2, []), (3, [4, 5, 6, 7])], "id int, ids array<int>")
     rows = V.windows(df, "id", "ids", 3).orderBy("window").collect()
