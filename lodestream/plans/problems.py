@@ -162,7 +162,7 @@ CANDIDATES = ["device_id", "app_id", "session_count", "_day", "_hour"]
 
 
 def _fields() -> list[fill.Field]:
-    """A value is missing if null or NaN, below zero in the times, not positive in app_id; a median takes times up to a day."""
+    """A value is missing if null or NaN, below zero in the times, not positive in app_id; a group's middle value takes times up to a day."""
     time = lambda c: F.coalesce(F.isnan(c) | (F.col(c) < 0), F.lit(True))
     groups = [("device_id",), ("app_id", "_hour"), ("app_id",), ()]
     return [
@@ -192,13 +192,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _filled_sql() -> str:
-    """One dependency holds, device -> app; whether it does is counted here too. Medians are the lower of two middle values."""
+    """One dependency holds, device -> app; whether it does is counted here too. Middle values: the mean in the bin (an eighth of a power of two) of the median."""
     times = ["session_time", "expanding_mean_session_time"]
-    mid = ", ".join(f"quantile_disc(CASE WHEN {c} <= 86400 THEN {c} END, 0.5) AS {c}" for c in times)
+    bin_ = lambda c: f"CASE WHEN {c} = 0 THEN -99999 ELSE floor(log2({c}) * 8) END"
+    middle = lambda keys: ", ".join(f"mid_{c} AS (SELECT {keys} v AS {c} FROM (SELECT *, s / n AS v, sum(n) OVER (PARTITION BY {keys} 1 ORDER BY b) AS upto, ceil(sum(n) OVER (PARTITION BY {keys} 1) / 2) AS half FROM (SELECT {keys} {bin_(c)} AS b, count(*) AS n, sum({c}) AS s FROM o WHERE {c} <= 86400 GROUP BY ALL)) WHERE upto >= half AND upto - n < half)" for c in times)
+    by = lambda name, keys: f"{name} AS (WITH {middle(''.join(k + ', ' for k in keys))} SELECT * FROM mid_session_time FULL JOIN mid_expanding_mean_session_time " + (f"USING ({', '.join(keys)}))" if keys else "ON true)")
     out = ""
     for c in times:
         tries = [(f"d.{c}", "group:device_id"), (f"h.{c}", "group:app_id,_hour"), (f"a.{c}", "group:app_id"), (f"w.{c}", "all")]
-        out += f", coalesce(f.{c}, {', '.join(t for t, _ in tries)}) AS {c}, CASE WHEN f.{c} IS NULL THEN CASE " + " ".join(f"WHEN {t} IS NOT NULL THEN '{n}'" for t, n in tries) + f" ELSE 'none' END END AS {c}_from"
+        out += f", round(coalesce(f.{c}, {', '.join(t for t, _ in tries)}) + 1e-9, 6) AS {c}, CASE WHEN f.{c} IS NULL THEN CASE " + " ".join(f"WHEN {t} IS NOT NULL THEN '{n}'" for t, n in tries) + f" ELSE 'none' END END AS {c}_from"
     return f"""WITH r AS (SELECT feature_id, CASE WHEN app_id > 0 THEN app_id END AS app_id, device_id, session_count, {', '.join(f"CASE WHEN {c} >= 0 AND NOT isnan({c}) THEN {c} END AS {c}" for c in times)},
         TRY_CAST(replace(substr(trim(date), 1, 10), '/', '-') AS DATE) AS day, TRY_CAST(hour AS INT) AS hour FROM hourly_features),
     o AS (SELECT DISTINCT ON (feature_id) * FROM r),
@@ -209,11 +211,12 @@ def _filled_sql() -> str:
     u AS (SELECT app_id AS app FROM o WHERE app_id IS NOT NULL GROUP BY app_id ORDER BY count(*) DESC, app_id DESC LIMIT 1),
     f AS (SELECT r.* REPLACE (coalesce(r.app_id, x.app, m.app, u.app) AS app_id), CASE WHEN r.app_id IS NULL THEN CASE WHEN x.app IS NOT NULL THEN 'fd:device_id' WHEN m.app IS NOT NULL THEN 'group:_day,_hour' WHEN u.app IS NOT NULL THEN 'all' ELSE 'none' END END AS app_id_from
         FROM r LEFT JOIN x USING (device_id) LEFT JOIN m USING (day, hour) LEFT JOIN u ON true),
-    d AS (SELECT device_id, {mid} FROM o GROUP BY device_id), h AS (SELECT app_id, hour, {mid} FROM o GROUP BY ALL), a AS (SELECT app_id, {mid} FROM o GROUP BY app_id), w AS (SELECT {mid} FROM o)
+    {by("d", ["device_id"])}, {by("h", ["app_id", "hour"])}, {by("a", ["app_id"])}, {by("w", [])}
     SELECT f.feature_id, f.app_id, f.device_id, f.session_count, f.day, f.hour, f.app_id_from{out}
     FROM f LEFT JOIN d USING (device_id) LEFT JOIN h ON h.app_id = f.app_id AND h.hour = f.hour LEFT JOIN a ON a.app_id = f.app_id LEFT JOIN w ON true"""
 
 
 @add("p3_filled", _filled_sql())
 def p3_filled(spark: SparkSession, folder: str) -> DataFrame:
-    return _filled(spark, folder).withColumnsRenamed({"_day": "day", "_hour": "hour"})
+    shown = {c: F.round(F.col(c) + 1e-9, 6) for c in ("session_time", "expanding_mean_session_time")}
+    return _filled(spark, folder).withColumns(shown).withColumnsRenamed({"_day": "day", "_hour": "hour"})
