@@ -56,38 +56,25 @@ def confusion(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
 
 
 def curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """``score, tp, fp, positives, negatives`` for the threshold "at or above score" at every distinct score, ties together.
+    """``score, tp, fp, positives, negatives`` for the threshold "at or above score" at every distinct score, ties together; ``tp_step, fp_step`` are those at the score itself.
 
-    Running counts come from the distributed sort, so a billion scores are no problem for one task.
+    Records and positives are counted per score and summed up in one distributed sort, so a billion scores are no problem for one task.
     """
-    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(score).alias("_s"), F.col(label).cast("long").alias("_y"))
-    both = rows.groupBy("_s").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
-    all_ = cumulative_frequencies(both, [], "_s", descending=True, weight="_n").select(F.col("_s").alias("score"), F.col("upto").alias("_upto"), F.col("total").alias("_total"))
-    pos = cumulative_frequencies(both, [], "_s", descending=True, weight="_p").select(F.col("_s").alias("score"), F.col("upto").alias("tp"), F.col("total").alias("positives"))
-    return all_.join(pos, "score").select("score", "tp", (F.col("_upto") - F.col("tp")).alias("fp"), "positives", (F.col("_total") - F.col("positives")).alias("negatives"))
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(score).alias("score"), F.col(label).cast("long").alias("_p"))
+    found = cumulative_frequencies(rows, [], "score", descending=True, beside=["_p"])
+    tp, positives = F.col("_p_upto"), F.col("_p_total")
+    return found.select("score", tp.alias("tp"), (F.col("upto") - tp).alias("fp"), positives.alias("positives"), (F.col("total") - positives).alias("negatives"), F.col("_p").alias("tp_step"), (F.col("n") - F.col("_p")).alias("fp_step"))
 
 
 def areas(points: DataFrame) -> DataFrame:
     """One row: ``auc`` (trapezoids from (0, 0)) and ``average_precision`` (steps in recall) of :func:`curve`.
 
-    The point before each one is found by its own counts, so no window runs over all points: a trapezoid needs the step in tp and
-    fp at a threshold, which are the counts of that score.
+    A trapezoid needs its step in tp and fp, which are the counts of its own score: no point looks at another one.
     """
-    steps = points.select("*", (F.col("tp") + F.col("fp")).alias("_at"))
-    order = Window.partitionBy("_block").orderBy("_at")
-    # Blocks of points by rank; the last point of a block is carried to the next by a join on block numbers.
-    size = 1 << 16
-    blocks = steps.withColumn("_block", F.floor(F.col("_at") / size))
-    ends = blocks.groupBy("_block").agg(F.max(F.struct("_at", "tp", "fp")).alias("_e"))
-    link = Window.orderBy("_block")  # one row per 65,536 records
-    ends = ends.select((F.lead("_block").over(link)).alias("_next"), F.col("_e.tp").alias("_etp"), F.col("_e.fp").alias("_efp"))
-    rows = blocks.join(ends, F.col("_block") == F.col("_next"), "left")
-    before = lambda c: F.coalesce(F.lag(c).over(order), F.col(f"_e{c}"), F.lit(0))
-    rows = rows.withColumns({"_ptp": before("tp"), "_pfp": before("fp")})
     p, n = F.max("positives"), F.max("negatives")
-    auc = F.sum((F.col("fp") - F.col("_pfp")) * (F.col("tp") + F.col("_ptp")) / 2.0)
-    ap = F.sum((F.col("tp") - F.col("_ptp")) * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return rows.agg((auc / F.nullif((p * n).cast("double"), F.lit(0.0))).alias("auc"), (ap / F.nullif(p.cast("double"), F.lit(0.0))).alias("average_precision"))
+    auc = F.sum(F.col("fp_step") * (2 * F.col("tp") - F.col("tp_step")) / 2.0)
+    ap = F.sum(F.col("tp_step") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return points.agg((auc / F.nullif((p * n).cast("double"), F.lit(0.0))).alias("auc"), (ap / F.nullif(p.cast("double"), F.lit(0.0))).alias("average_precision"))
 
 
 def target_encoding(train: DataFrame, df: DataFrame, category: str, label: str, name: str) -> DataFrame:

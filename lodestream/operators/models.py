@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import json
+import pickle
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions.clean import number
 from lodestream.operators import evaluation, sampling
+from lodestream.session import tasks
 
 
 def assembled(df: DataFrame, key: str, columns: Sequence[str], label: str, weights: Mapping[int, float] | None = None) -> DataFrame:
@@ -36,9 +41,14 @@ def boosted(train: DataFrame, rounds: int = 10, depth: int = 3):
     return GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, seed=42).fit(train)
 
 
+def confused(predicted: DataFrame) -> DataFrame:
+    """One row: confusion matrix and rates of rows with ``y`` and ``prediction``."""
+    return evaluation.confusion(predicted, F.col("y"), F.col("prediction"))
+
+
 def judged(model, test: DataFrame) -> DataFrame:
     """One row: confusion matrix and rates of a model on ``test``."""
-    return evaluation.confusion(model.transform(test), F.col("y"), F.col("prediction"))
+    return confused(model.transform(test))
 
 
 def depth_sweep(train: DataFrame, test: DataFrame, depths: Sequence[int]) -> DataFrame:
@@ -69,21 +79,107 @@ def out_of_bag_scores(rows: DataFrame, key: str, learners: int = 3, depth: int =
     return each.agg(F.count("*").alias("rows"), F.avg(F.when(F.col("y") == F.col("g"), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
+#: The bound on the labelled rows that extra trees are fitted on (drawn by hash with ROWS / rows chance); every row is scored.
+ROWS = 50_000
+
+
+def _extra_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, leaf: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One tree as a heap: feature (-1 at a leaf), threshold and share of class 1 by node. A threshold is drawn, not searched."""
+    rng = np.random.default_rng(seed)
+    slots = 1 << (depth + 1)
+    feature, cut, share = np.full(slots, -1), np.zeros(slots), np.zeros(slots)
+    nodes = {1: np.arange(len(y))}
+    many = max(1, int(np.sqrt(x.shape[1])))
+
+    def impurity(rows: np.ndarray) -> float:
+        total = w[rows].sum()
+        p = (w[rows] * y[rows]).sum() / total if total else 0.0
+        return total * 2 * p * (1 - p)
+
+    for node in range(1, slots):
+        rows = nodes.pop(node, None)
+        if rows is None:
+            continue
+        total = w[rows].sum()
+        share[node] = (w[rows] * y[rows]).sum() / total if total else 0.0
+        if 2 * node >= slots or len(rows) < 2 * leaf or share[node] in (0.0, 1.0):
+            continue
+        low, high = x[rows].min(0), x[rows].max(0)
+        open_ = np.flatnonzero(high > low)
+        best, gain = None, 0.0
+        for f in rng.permutation(open_)[:many]:
+            at = rng.uniform(low[f], high[f])
+            right = x[rows, f] >= at
+            if min(right.sum(), (~right).sum()) < leaf:
+                continue
+            g = impurity(rows) - impurity(rows[right]) - impurity(rows[~right])
+            if best is None or g > gain:
+                best, gain = (f, at, right), g
+        if best is not None:
+            feature[node], cut[node] = best[:2]
+            nodes[2 * node], nodes[2 * node + 1] = rows[~best[2]], rows[best[2]]
+    return feature, cut, share
+
+
+def extra_trees(train: DataFrame, key: str, depth: int = 8, trees: int = 100, leaf: int = 1, seed: int = 42):
+    """Extremely randomised trees over :func:`assembled` rows: a function from such rows to them with ``prediction`` (1.0 where the mean share exceeds a half).
+
+    They are fitted a tree a task on a bounded sample of the labelled rows (``ROWS``). Without rows all predictions are 0.
+    """
+    spark, n = train.sparkSession, max(1, train.count())
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(1 << 53))
+    sample = train.where(u * n < ROWS).orderBy(key).select(vector_to_array("x").alias("x"), "y", "w").toPandas()  # the documented bound
+    if not len(sample):
+        return lambda df: df.withColumn("prediction", F.lit(0.0))
+    x, y, w = np.array(sample["x"].tolist(), float), sample["y"].to_numpy(float), sample["w"].to_numpy(float)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"tree": [pickle.dumps(_extra_tree(x, y, w, depth, leaf, seed + int(i))) for i in b["id"]]})
+
+    grown = [pickle.loads(r["tree"]) for r in spark.range(trees).repartition(min(trees, tasks(spark))).mapInPandas(fit, "tree binary").collect()]  # a tree is at most 2 ** (depth + 1) nodes
+
+    @F.pandas_udf("double")
+    def predicted(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=float)
+        rows = np.array(vectors.tolist(), float)
+        total = np.zeros(len(rows))
+        for feature, cut, share in grown:
+            node = np.ones(len(rows), int)
+            for _ in range(depth):
+                f = feature[node]
+                inner = f >= 0
+                node = np.where(inner, 2 * node + (rows[np.arange(len(rows)), np.maximum(f, 0)] >= cut[node]), node)
+            total += share[node]
+        return pd.Series((total / len(grown) > 0.5).astype(float))
+
+    return lambda df: df.withColumn("prediction", predicted(vector_to_array("x")))
+
+
+#: Names that a search may draw: of a tree, and of a forest besides.
+OF_TREES = {"depth": "maxDepth", "bins": "maxBins", "leaf": "minInstancesPerNode", "gain": "minInfoGain"}
+OF_FORESTS = {"trees": "numTrees", "share": "subsamplingRate", "columns": "featureSubsetStrategy"}
+
+
 def random_search(train: DataFrame, test: DataFrame, space: Mapping[str, Sequence], trials: int = 25, seed: int = 42) -> DataFrame:
-    """``trial, params, f1, best``: seeded random draws from ``space`` (depth, bins, least rows of a leaf) for a tree, judged on ``test``.
+    """``trial, params, f1, best``: seeded random draws from ``space``, judged on ``test``: a tree, or a forest if a name of forests is in it.
 
-    Equal draws are fitted once. The driver holds a row a trial.
+    Names: depth, bins, leaf (least rows), gain (least gain); trees, share (of rows a tree sees), columns (of a split). Equal draws are
+    fitted once. The driver holds a row a trial.
     """
-    rng, known = random.Random(seed), {"depth", "bins", "leaf"}
-    if unknown := set(space) - known:
+    rng = random.Random(seed)
+    known = OF_TREES | OF_FORESTS
+    if unknown := set(space) - set(known):
         raise ValueError(f"unknown parameters: {sorted(unknown)}; there are {sorted(known)}")
+    kind = RandomForestClassifier if set(space) & set(OF_FORESTS) else DecisionTreeClassifier
     rows, seen = [], {}
     for trial in range(trials):
         drawn = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
         key = json.dumps(drawn)
         if key not in seen:
-            tree_ = DecisionTreeClassifier(featuresCol="x", labelCol="y", weightCol="w", maxDepth=drawn.get("depth", 5), maxBins=drawn.get("bins", 32), minInstancesPerNode=drawn.get("leaf", 1), seed=42)
-            seen[key] = judged(tree_.fit(train), test).first()["f1"]
+            model = kind(featuresCol="x", labelCol="y", weightCol="w", seed=42, **{known[k]: v for k, v in drawn.items()})
+            seen[key] = judged(model.fit(train), test).first()["f1"]
         rows.append((trial, key, seen[key]))
     best = max(r[2] or 0.0 for r in rows)
     return train.sparkSession.createDataFrame([(*r, (r[2] or 0.0) == best) for r in rows], "trial int, params string, f1 double, best boolean")

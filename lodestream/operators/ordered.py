@@ -56,30 +56,31 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "position", parts
     return out.withColumn(name, F.col("__lode_before") + F.col(POS) + 1).drop(PART, POS, "__lode_before")
 
 
-def cumulative_frequencies(df: DataFrame, groups: Sequence[str], value: str, descending: bool = False, parts: int | None = None, weight: str | None = None) -> DataFrame:
+def cumulative_frequencies(df: DataFrame, groups: Sequence[str], value: str, descending: bool = False, parts: int | None = None, weight: str | None = None, beside: Sequence[str] = ()) -> DataFrame:
     """Distinct values per group with running counts: ``groups, value, n, before, upto, total``.
 
-    With ``weight``, a row counts that often instead of once.
+    With ``weight``, a row counts that often instead of once. Each number in ``beside`` is summed up in the same way, into ``<c>, <c>_upto, <c>_total``.
 
     ``n`` rows have the value, ``before`` rows of the group come earlier in the order, ``upto`` = before + n.
     Equal values are counted before the shuffle, so ties cost nothing; the distinct values are range-sorted by
     (group, value), and the windows run inside one (group, range partition) or over one row per range partition.
     Rows with a null value are left out, as in aggregates.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"), *[F.sum(c).alias(c) for c in beside])
     by = F.col(value).desc() if descending else F.col(value).asc()
     rows = range_sorted(counted, [*[F.col(g).asc() for g in groups], by], parts).drop(POS)
-    sizes = rows.groupBy(*groups, PART).agg(F.sum("n").alias("__lode_size"))
+    sums = ["n", *beside]
+    sizes = rows.groupBy(*groups, PART).agg(*[F.sum(c).alias(f"__lode_size_{c}") for c in sums])
     whole = Window.partitionBy(*groups)
-    ahead = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *groups, PART, F.coalesce(F.sum("__lode_size").over(ahead), F.lit(0)).alias("__lode_before"), F.sum("__lode_size").over(whole).alias("total")
-    )
+    ahead = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # a row a range partition
+    before = [F.coalesce(F.sum(f"__lode_size_{c}").over(ahead), F.lit(0)).alias(f"__lode_before_{c}") for c in sums]
+    offsets = sizes.select(*groups, PART, *before, *[F.sum(f"__lode_size_{c}").over(whole).alias(f"__lode_total_{c}") for c in sums])
     inside = Window.partitionBy(*groups, PART).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("__lode_run", F.sum("n").over(inside))
+    run = rows.withColumns({f"__lode_run_{c}": F.sum(c).over(inside) for c in sums})
     out = run.join(offsets, same(run, offsets, [*groups, PART]))
-    upto = F.col("__lode_before") + F.col("__lode_run")
-    return out.select(*[run[g] for g in groups], run[value], "n", (upto - F.col("n")).alias("before"), upto.alias("upto"), "total")
+    upto = {c: F.col(f"__lode_before_{c}") + F.col(f"__lode_run_{c}") for c in sums}
+    more = [x for c in beside for x in (F.col(c), upto[c].alias(f"{c}_upto"), F.col(f"__lode_total_{c}").alias(f"{c}_total"))]
+    return out.select(*[run[g] for g in groups], run[value], "n", (upto["n"] - F.col("n")).alias("before"), upto["n"].alias("upto"), F.col("__lode_total_n").alias("total"), *more)
 
 
 def interpolated(df: DataFrame, groups: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import pickle
-from collections.abc import Iterator, Sequence
+import random
+from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,15 +16,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.functions.clean import number
+from lodestream.functions.clean import finite, number
 from lodestream.operators.evaluation import reconstruction_error
 from lodestream.operators.forest import grown
-from lodestream.operators.ordered import ranked
+from lodestream.operators.ordered import ranked, small
 from lodestream.scratch import written
 from lodestream.session import tasks
 
-#: The bounds on what a model is fitted on: rows of a sample (of one app, or of the whole table), and models.
-SAMPLE, MODELS = 256, 10_000
+#: The bound on the rows that a model is fitted on (of one group, or of the whole table), and the rows of a group that one task scores.
+SAMPLE, PART_ROWS = 256, 200_000
 #: Rows of a block in the neighbour search; every block meets every other.
 BLOCK = 1024
 
@@ -51,44 +54,97 @@ def forest_scores(df: DataFrame, key: str, columns: Sequence[str], sample: int =
     return rows.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, score double")
 
 
-def group_scores(df: DataFrame, key: str, group: str, columns: Sequence[str], sample: int = SAMPLE, trees: int = 50, above: float = 0.5, seed: int = 42) -> DataFrame:
-    """``key, group, score, anomaly``: a model per group, fitted on a sample of it; a group without a model (null, or one row) emits nothing.
+def forest_search(df: DataFrame, key: str, columns: Sequence[str], label: str, space: Mapping[str, Sequence[int]], trials: int = 25, seed: int = 42) -> DataFrame:
+    """``trial, params, hits, best``: seeded random settings (``trees``, ``sample``) of :func:`forest_scores`; ``hits`` is the share of the rows with ``label`` 1
+    among as many highest scores. Equal draws are fitted once; without a labelled row hits is null. The driver holds a row a trial."""
+    rng = random.Random(seed)
+    if unknown := set(space) - {"trees", "sample"}:
+        raise ValueError(f"unknown parameters: {sorted(unknown)}")
+    flags = written(df.where(F.col(label) == 1).select(F.col(key).alias("_k")).distinct(), "flags")
+    many = flags.count()
+    rows, seen = [], {}
+    for trial in range(trials):
+        drawn = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
+        name = json.dumps(drawn)
+        if name not in seen and many:
+            top = forest_scores(df, key, columns, seed=seed, **drawn).orderBy(F.col("score").desc(), F.col(key)).limit(many)  # a report of the labelled rows' number
+            seen[name] = top.join(flags, F.col(key) == F.col("_k"), "left_semi").count() / many
+        rows.append((trial, name, seen.get(name)))
+    best = max((r[2] for r in rows if r[2] is not None), default=None)
+    return df.sparkSession.createDataFrame([(*r, r[2] is not None and r[2] == best) for r in rows], "trial int, params string, hits double, best boolean")
+
+
+def _inputs(df: DataFrame, key: str, group: str, columns: Sequence[str]) -> DataFrame:
+    """``key, group, _n`` (rows of the group) and finite inputs: missing ones take the group's mean, then 0. Rows without a group are left out."""
+    value = {c: finite(F.col(c)) for c in columns}
+    rows = df.where(F.col(group).isNotNull()).select(F.col(key), F.col(group), *[v.alias(c) for c, v in value.items()])
+    stats = small(written(rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_{c}") for c in columns]), "stats"), 10_000)
+    return rows.join(stats, F.col(group) == F.col("_g")).select(key, group, "_n", *[F.coalesce(F.col(c), F.col(f"_{c}"), F.lit(0.0)).alias(c) for c in columns])
+
+
+def group_models(df: DataFrame, key: str, group: str, columns: Sequence[str], sample: int = SAMPLE, trees: int = 50, seed: int = 42) -> DataFrame:
+    """``group, model``: an isolation forest per group, fitted on about ``sample`` of its rows drawn by hash; a group of one row has none.
 
-    Missing values take the group's mean, then 0. Models are small and few (at most ``MODELS`` groups, else an error), so they
-    travel to the rows: a group with a third of all rows is scored by all tasks.
+    The models stay a table: :func:`lodestream.sources.registry.register` keeps it, :func:`model_scores` brings each model to its rows.
     """
-    value = {c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double")) for c in columns}
-    rows = df.where(F.col(group).isNotNull()).select(F.col(key), F.col(group), *[v.alias(c) for c, v in value.items()])
-    stats = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_{c}") for c in columns])
-    if stats.limit(MODELS + 1).count() > MODELS:
-        raise ValueError(f"more than {MODELS} groups need another way of carrying models")
-    whole = rows.join(F.broadcast(stats), F.col(group) == F.col("_g"))  # at most MODELS rows
-    whole = whole.select(key, group, "_n", *[F.coalesce(F.col(c), F.col(f"_{c}"), F.lit(0.0)).alias(c) for c in columns])
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(1 << 53))
     kind = df.schema[group].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(key)[list(columns)].to_numpy(float)
         model = pickle.dumps(grown([x], trees, sample, seed)[0]) if len(x) > 1 else None
-        return pd.DataFrame({"g": [pdf[group].iloc[0]], "model": [model]})
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "model": [model]})
+
+    drawn = _inputs(df, key, group, columns).where(u * F.col("_n") < sample)
+    return drawn.groupBy(group).applyInPandas(fit, f"`{group}` {kind}, model binary").where("model IS NOT NULL")
+
 
-    fitted = whole.where(u * F.col("_n") < sample).groupBy(group).applyInPandas(fit, f"g {kind}, model binary")
-    models = {r["g"]: bytes(r["model"]) for r in fitted.where("model IS NOT NULL").collect()}
+@lru_cache(maxsize=64)
+def _loaded(model: bytes):
+    """A model, kept in the worker process for the batches that follow."""
+    return pickle.loads(model)
+
+
+def model_scores(df: DataFrame, models: DataFrame, key: str, group: str, columns: Sequence[str], above: float = 0.5) -> DataFrame:
+    """``key, group, score, anomaly`` of every row whose group has a model; the others are left out.
+
+    A group's rows are cut by hash into parts of about ``PART_ROWS``, and a copy of its model goes to each part, ahead of its rows. So a group with a third of all
+    rows is scored by many tasks, a task holds one model at a time, and no number of groups is too large.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = _inputs(df, key, group, columns)
+    parts = F.ceil(F.col("_n") / PART_ROWS).cast("int")
+    sizes = rows.groupBy(group).agg(F.first("_n").alias("_n"))
+    heads = models.select(group, "model").join(sizes, group).select(F.lit(None).cast(kind[key]).alias(key), group, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), *[F.lit(0.0).alias(c) for c in columns], "model")
+    body = rows.select(key, group, F.pmod(F.xxhash64(key), parts).cast("int").alias("_part"), *columns, F.lit(None).cast("binary").alias("model"))
+    both = heads.unionByName(body).repartition(group, "_part").sortWithinPartitions(group, "_part", F.col("model").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forests: dict = {}
+        at, model = None, None
         for b in batches:
-            g, x = b.column(group).to_numpy(zero_copy_only=False), _matrix(b, columns)
+            g, part = b.column(group).to_numpy(zero_copy_only=False), b.column("_part").to_numpy()
+            head, x = np.array(b.column("model").is_valid()), _matrix(b, columns)
             s = np.full(len(b), np.nan)
-            for one in np.unique(g):
-                if one in models:
-                    at = np.flatnonzero(g == one)
-                    s[at] = forests.setdefault(one, pickle.loads(models[one])).score(x[at])
+            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])]) if len(b) else []
+            for lo, hi in zip(starts, np.r_[starts[1:], len(b)] if len(b) else [], strict=True):
+                if (g[lo], part[lo]) != at:
+                    at, model = (g[lo], part[lo]), None
+                if head[lo]:
+                    model = _loaded(b.column("model")[int(lo)].as_py())
+                own = np.arange(lo, hi)[~head[lo:hi]]
+                if model is not None and len(own):
+                    s[own] = model.score(x[own])
             keep = pa.array(~np.isnan(s))
             out = [b.column(key), b.column(group), pa.array(s), pa.array((s > above).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], names=[key, group, "score", "anomaly"])
 
-    return whole.drop("_n").mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {group} {kind}, score double, anomaly int")
+    return both.mapInArrow(run, f"`{key}` {kind[key]}, `{group}` {kind[group]}, score double, anomaly int")
+
+
+def group_scores(df: DataFrame, key: str, group: str, columns: Sequence[str], sample: int = SAMPLE, trees: int = 50, above: float = 0.5, seed: int = 42) -> DataFrame:
+    """``key, group, score, anomaly``: :func:`group_models` fitted and applied; a group without a model (null, or one row) emits nothing."""
+    models = written(group_models(df, key, group, columns, sample, trees, seed), "models")
+    return model_scores(df, models, key, group, columns, above)
 
 
 class LocalOutlierFactor:

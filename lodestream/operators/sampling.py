@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.ordered import ranked
+from lodestream.scratch import written
+
 
 def uniform(seed: int, *keys: str | Column) -> Column:
     """A number in [0, 1) from the md5 of the keys and a seed (so that SQL can give the same)."""
@@ -41,6 +44,19 @@ def bags(df: DataFrame, key: str, learners: int, seed: int = 7, most: int = 12)
     return rows.withColumn("draws", sum(steps[1:], steps[0]))
 
 
+def exact_bags(df: DataFrame, key: str, learners: int, many: int | None = None, seed: int = 7) -> DataFrame:
+    """:func:`bags` with exactly ``many`` draws a learner (as many as rows by default): each draw names a position in the order of ``key``.
+
+    The draws are counted per position before they meet the rows; nobody holds them all. Equal keys are rows of their own.
+    """
+    rows = written(ranked(df, [F.col(key).asc(), F.xxhash64(*df.columns).asc()], "_at"), "ranked")
+    n = rows.count()
+    draws = df.sparkSession.range((n if many is None else many) * learners if n else 0).select((F.col("id") % learners).cast("int").alias("learner"), (F.floor(uniform(seed, F.col("id")) * n) + 1).alias("_at"))
+    counts = draws.groupBy("learner", "_at").agg(F.count("*").cast("int").alias("draws"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(learners - 1))).alias("learner"))
+    return each.join(counts, ["learner", "_at"], "left").select(*df.columns, "learner", F.coalesce("draws", F.lit(0)).alias("draws"))
+
+
 def out_of_bag(bagged: DataFrame) -> DataFrame:
     """Each learner's rows that it hasn't drawn."""
     return bagged.where("draws = 0").drop("draws")

@@ -70,7 +70,7 @@ _CURVE = f"""{ROWS}, c AS (SELECT s, count(*) AS n, sum(y) AS p FROM rows_ WHERE
 
 @add("roc_points", f"WITH {_CURVE} SELECT * FROM k")
 def roc_points(spark: SparkSession, folder: str) -> DataFrame:
-    return E.curve(_rows(spark, folder), "y", "s")
+    return E.curve(_rows(spark, folder), "y", "s").drop("tp_step", "fp_step")
 
 
 @add("pr_curve", f"WITH {_CURVE} SELECT score, {r6('tp / (tp + fp)')} AS precision, {r6('tp / positives')} AS recall FROM k")
@@ -85,7 +85,7 @@ def pr_curve(spark: SparkSession, folder: str) -> DataFrame:
     SELECT {r6('sum((fp - pfp) * (tp + ptp) / 2.0) / max(positives * negatives)')} AS auc, {r6('sum((tp - ptp) * tp / (tp + fp)) / max(positives)')} AS average_precision FROM l""",
 )
 def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
-    out = E.areas(written(E.curve(_rows(spark, folder), "y", "s"), "curve"))
+    out = E.areas(E.curve(_rows(spark, folder), "y", "s"))
     return out.select(*[nudged(F.col(c)).alias(c) for c in out.columns])
 
 

@@ -197,16 +197,16 @@ def history_latest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.drop(*[f"prev_{s}_{c}" for s in ("mean", "std") for c in STATS])
 
 
-_LAST_AT = "CAST(replace(substr(trim(date), 1, 10), '/', '-') AS DATE) + CAST(hour AS INT) * INTERVAL 1 HOUR"
+LAST_AT = "CAST(replace(substr(trim(date), 1, 10), '/', '-') AS DATE) + CAST(hour AS INT) * INTERVAL 1 HOUR"
 
 
-@add("history_asof", f"SELECT app_id, device_id, max_zero_bytes_Count FROM last_n_features WHERE {_LAST_AT} = (SELECT max({_LAST_AT}) FROM last_n_features WHERE {_LAST_AT} < TIMESTAMP '2025-03-05 00:00:00')")
+@add("history_asof", f"SELECT app_id, device_id, max_zero_bytes_Count FROM last_n_features WHERE {LAST_AT} = (SELECT max({LAST_AT}) FROM last_n_features WHERE {LAST_AT} < TIMESTAMP '2025-03-05 00:00:00')")
 def history_asof(spark: SparkSession, folder: str) -> DataFrame:
     rows = readers.latest_before(table(spark, folder, "last_n_features"), day(), hour(), F.lit("2025-03-05 00:00:00").cast("timestamp_ntz"))
     return rows.select("app_id", "device_id", "max_zero_bytes_Count")
 
 
-@add("last_n_hours", f"SELECT app_id, device_id, {_LAST_AT} AS event_hour, max_zero_bytes_Count FROM last_n_features WHERE {_LAST_AT} >= TIMESTAMP '2025-03-05 05:00:00' AND {_LAST_AT} < TIMESTAMP '2025-03-05 12:00:00'")
+@add("last_n_hours", f"SELECT app_id, device_id, {LAST_AT} AS event_hour, max_zero_bytes_Count FROM last_n_features WHERE {LAST_AT} >= TIMESTAMP '2025-03-05 05:00:00' AND {LAST_AT} < TIMESTAMP '2025-03-05 12:00:00'")
 def last_n_hours(spark: SparkSession, folder: str) -> DataFrame:
     """The seven hours before a job, from rows whose hours are not written alike."""
     at = F.make_timestamp_ntz(F.year(day()), F.month(day()), F.dayofmonth(day()), hour(), F.lit(0), F.lit(0))
@@ -314,7 +314,7 @@ _THE_HOUR = HOURS.replace("FROM session_events GROUP BY ALL", f"FROM session_eve
 _HOUR_NEW = _new_sql("hours", "stated")
 _HOUR_ZERO = f"""zero_ AS (SELECT app_id, device_id, {r6('coalesce(avg(x) OVER (PARTITION BY app_id, device_id ORDER BY stamp ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 0)')} AS rolling, fresh FROM
     (SELECT app_id, device_id, TIMESTAMP '2025-03-05 11:00:00' AS stamp, nullif(max_zero_bytes_Count, 0) AS x, 1 AS fresh FROM hours
-    UNION ALL SELECT app_id, device_id, {_LAST_AT}, nullif(max_zero_bytes_Count, 0), 0 FROM last_n_features WHERE {_LAST_AT} < TIMESTAMP '2025-03-05 11:00:00'))"""
+    UNION ALL SELECT app_id, device_id, {LAST_AT}, nullif(max_zero_bytes_Count, 0), 0 FROM last_n_features WHERE {LAST_AT} < TIMESTAMP '2025-03-05 11:00:00'))"""
 
 
 def _run_job(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

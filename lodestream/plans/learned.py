@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.clean import once
-from lodestream.operators import models, outliers, sampling
+from lodestream.functions.clean import day, hour, once
+from lodestream.operators import experiments, models, outliers, sampling
 from lodestream.operators.hourly import nudged
 from lodestream.operators.severity import COLUMNS, severity
-from lodestream.plans.hours import EVENTS, r6
+from lodestream.plans.hours import EVENTS, LAST_AT, r6
+from lodestream.plans.hours import _place as place
 from lodestream.plans.registry import Registry, table
 from lodestream.plans.scores import SEVERITY
 from lodestream.scratch import written
+from lodestream.sources import registry
 from lodestream.streaming import jobs
 
 REGISTRY = Registry()
@@ -32,10 +34,32 @@ def iforest_scores(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.forest_scores(written(once(table(spark, folder, "severity_scores"), "score_id"), "scores"), "score_id", SIGNALS)
 
 
+def _inputs(spark: SparkSession, folder: str) -> DataFrame:
+    return written(once(table(spark, folder, "hourly_features").select("feature_id", "app_id", *INPUTS), "feature_id"), "inputs")
+
+
 @add("per_app_scores")
 def per_app_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = written(once(table(spark, folder, "hourly_features").select("feature_id", "app_id", *INPUTS), "feature_id"), "inputs")
-    return outliers.group_scores(rows, "feature_id", "app_id", INPUTS)
+    """Models fitted per app, registered, looked up and brought to their rows."""
+    rows, path = _inputs(spark, folder), place(spark, "models")
+    registry.register(outliers.group_models(rows, "feature_id", "app_id", INPUTS), path)
+    return outliers.model_scores(rows, registry.current(spark, path, "app_id"), "feature_id", "app_id", INPUTS)
+
+
+@add("model_sweep")
+def model_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty-five random settings of the isolation forest, judged by how well the scores find the flagged hours."""
+    rows = written(once(table(spark, folder, "severity_scores").select("score_id", "anomaly", *SIGNALS), "score_id"), "scores")
+    return outliers.forest_search(rows, "score_id", SIGNALS, "anomaly", {"trees": [50, 100, 200], "sample": [64, 128, 256]}, 25)
+
+
+@add("experiment_run")
+def experiment_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Fit, score, profile, top records and metrics of one configuration, kept as a run; what comes out is the run as stored."""
+    rows = written(once(table(spark, folder, "severity_scores"), "score_id"), "scores")
+    path = place(spark, "experiment")
+    experiments.run(rows, "score_id", SIGNALS, {"algo": "isolation_forest", "params": {"trees": 100, "sample": 256}, "metrics": {"severity": {"method": "topk", "args": {"k": 50}}}}, path, "first")
+    return experiments.stored(spark, path, "first")
 
 
 @add("lof_scores")
@@ -78,6 +102,18 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     return models.importances(models.forest(train), SIGNALS, train)
 
 
+@add("extra_trees")
+def extra_trees(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _parts(spark, folder, FOREST_WEIGHTS)
+    return models.confused(models.extra_trees(train, "score_id")(test))
+
+
+@add("forest_search")
+def forest_search(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _parts(spark, folder, FOREST_WEIGHTS)
+    return models.random_search(train, test, {"trees": [10, 30], "share": [0.5, 0.75, 1.0], "columns": ["sqrt", "all"], "depth": [4, 8], "leaf": [1, 10], "gain": [0.0, 0.001]}, 5)
+
+
 @add("gbt_classifier")
 def gbt_classifier(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _parts(spark, folder)
@@ -87,7 +123,7 @@ def gbt_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @add("parameter_search")
 def parameter_search(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _parts(spark, folder)
-    return models.random_search(train, test, {"depth": range(1, 5), "leaf": [1, 20]}, 25)
+    return models.random_search(train, test, {"depth": range(1, 11), "leaf": [1, 5, 20], "bins": [32, 64]}, 25)
 
 
 @add("oob_score")
@@ -118,6 +154,28 @@ def stream_device_stats(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("device_id", "n", nudged(F.col("mean")).alias("mean"), nudged(F.col("std")).alias("std"))
 
 
+@add(
+    "stream_rolling",
+    f"""WITH o AS (SELECT DISTINCT ON (feature_id) feature_id, device_id, {LAST_AT} AS stamp, max_zero_bytes_Count AS x FROM hourly_features WHERE device_id IS NOT NULL)
+    SELECT feature_id, {r6('coalesce(avg(nullif(x, 0)) OVER (PARTITION BY device_id ORDER BY stamp ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 0)')} AS rolling FROM o""",
+)
+def stream_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """Each device's last seven values kept as the state of the stream."""
+    path = f"{folder}/hourly_features.parquet"
+    stream = jobs.opened(spark, path, spark.read.parquet(path)).select("feature_id", "device_id", (F.unix_date(day()) * 24 + hour()).cast("long").alias("t"), F.col("max_zero_bytes_Count").alias("x"))
+    rows = jobs.table_of(jobs.rolling(stream, "feature_id", "device_id", "t", "x"), "append")
+    return rows.select("feature_id", nudged(F.col("rolling")).alias("rolling"))
+
+
+@add("stream_model_scores")
+def stream_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Micro-batches scored with the registered models of their apps."""
+    rows, path = _inputs(spark, folder), place(spark, "models")
+    registry.register(outliers.group_models(rows, "feature_id", "app_id", INPUTS), path)
+    stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rpartition("/")[0])
+    return jobs.scored(stream, lambda batch: outliers.model_scores(batch, registry.current(spark, path, "app_id"), "feature_id", "app_id", INPUTS))
+
+
 @add("stream_severity", f"SELECT score_id, {r6(SEVERITY)} AS severity FROM severity_scores")
 def stream_severity(spark: SparkSession, folder: str) -> DataFrame:
     """Scoring of micro-batches: the batch function as it is, over a stream. Rows as stored, repeats included."""

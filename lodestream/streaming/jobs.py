@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.scratch import root
+from lodestream.sources import sinks
 
 KEYS = ["app_id", "device_id", "event_date", "record_type", "session_id"]
 #: Shares of a device's state, so that a busy device is kept by several tasks.
@@ -63,6 +64,45 @@ def combined(parts: DataFrame) -> DataFrame:
     return rows.select("device_id", "n", "mean", F.sqrt((F.col("_w") + spread) / F.col("n")).alias("std"))
 
 
+def _window(many: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).drop_duplicates("key").sort_values(["t", "key"])  # one source's rows of one micro-batch
+        rolling = []
+        for x in rows["x"].astype(float).tolist():
+            last = [*last, x][-many:]
+            some = [v for v in last if v == v and v != 0]
+            rolling.append(sum(some) / len(some) if some else 0.0)
+        state.update((last[1 - many :],))
+        yield pd.DataFrame({"key": rows["key"].to_numpy(), "rolling": rolling})
+
+    return run
+
+
+def rolling(stream: DataFrame, key: str, source: str, t: str, x: str, many: int = 8) -> DataFrame:
+    """``key, rolling``: the mean of a source's last ``many`` values that aren't null or 0, the row's own included; 0 where there is none.
+
+    The last ``many`` - 1 values of each source are the state, so no output is read again. Rows come in the order of ``t`` from batch to batch, in
+    any order inside one; repeats of a key in a batch count once. Rows without a source are left out.
+    """
+    rows = stream.where(F.col(source).isNotNull()).select(F.col(source).alias("source"), F.col(key).cast("long").alias("key"), F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x"))
+    out = rows.groupBy("source").applyInPandasWithState(_window(many), "key long, rolling double", "last array<double>", "append", "NoTimeout")
+    return out.withColumnRenamed("key", key)
+
+
+def scored(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``score`` makes of each micro-batch, written batch by batch (a repeated batch replaces itself)."""
+    spark = stream.sparkSession
+    path = f"{root(spark)}/scored-{uuid4().hex[:12]}"
+    drained(stream, lambda df, i: score(df).write.mode("overwrite").parquet(f"{path}/batch={i}"), "append")
+    return spark.read.parquet(path).drop("batch")
+
+
+def sent(stream: DataFrame, app: str, device: str, client: Callable, **settings) -> None:
+    """Every micro-batch handed to :func:`lodestream.sources.sinks.put`, which sends in batches and retries what was refused."""
+    drained(stream, lambda df, i: sinks.put(df, app, device, client, **settings), "append")
+
+
 def drained(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     """Runs over what is there and stops; progress is kept in the shared folder."""
     at = f"{root(stream.sparkSession)}/stream-{uuid4().hex[:12]}"
