@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.ordered import same
+from lodestream.scratch import written
 
 #: Days of a shard: a power of two, and the longest period that can be asked for.
 DAYS = 32
@@ -88,7 +89,8 @@ def corrected(forest: DataFrame, changes: DataFrame, entity: str, day: str, meas
     """``forest`` after late corrections: ``changes`` has ``entity, day`` and the differences ``s_<m>``, ``c_<m>``.
 
     Each change adds to the log2(days) + 1 nodes from its leaf to the root and to no other. Changes of the same day add
-    up; a shard that has no tree yet gets one; with no changes the forest stays as it is.
+    up; a shard that has no tree yet gets one. Only the trees of time shards with a change are read into the join; all others pass as they are
+    stored (a forest kept by shard isn't rewritten). The driver sees the numbers of those shards, one per ``days`` days of changes.
     """
     cols = [f"{p}_{m}" for m in measures for p in "sc"]
     height = days.bit_length() - 1
@@ -100,6 +102,9 @@ def corrected(forest: DataFrame, changes: DataFrame, entity: str, day: str, meas
         F.min("_min").alias("_min"), F.max("_max").alias("_max"),
         F.map_from_entries(F.collect_list(F.struct(F.col("_node").alias("k"), F.struct(*cols).alias("v")))).alias("_by_node"),
     )
+    delta = written(delta, "delta")
+    touched = [r["shard"] for r in delta.select("shard").distinct().collect()]
+    rest, forest = forest.where(~F.col("shard").isin(touched)), forest.where(F.col("shard").isin(touched))
     both = forest.join(delta, same(forest, delta, [entity, "shard"]), "full")
     every = F.sequence(F.lit(0), F.lit(2 * days - 1))
 
@@ -109,7 +114,8 @@ def corrected(forest: DataFrame, changes: DataFrame, entity: str, day: str, meas
         return F.when(F.col("_by_node").isNull(), forest[c]).otherwise(new).alias(c)
 
     own = [F.when(forest["shard"].isNotNull(), forest[c]).otherwise(delta[c]).alias(c) for c in (entity, "shard")]
-    return both.select(*own, F.least("first", "_min").alias("first"), F.greatest("last", "_max").alias("last"), *[changed(c) for c in cols])
+    moved = both.select(*own, F.least("first", "_min").alias("first"), F.greatest("last", "_max").alias("last"), *[changed(c) for c in cols])
+    return rest.select(moved.columns).unionByName(moved)
 
 
 def trailing(forest: DataFrame, entity: str, measures: Sequence[str], periods: Sequence[int], days: int = DAYS) -> DataFrame:
@@ -158,6 +164,12 @@ def trailing(forest: DataFrame, entity: str, measures: Sequence[str], periods: S
     return rows.select(entity, *out)
 
 
+def shard_days(periods: Sequence[int]) -> int:
+    """Days of a time shard: a power of two that the longest period fits into, 32 at least."""
+    return max(DAYS, 1 << (max(periods) - 1).bit_length())
+
+
 def trailing_totals(df: DataFrame, entity: str, day: str, measures: Sequence[str], periods: Sequence[int], key: str | None = None) -> DataFrame:
-    """:func:`leaves`, :func:`trees` and :func:`trailing` in one call."""
-    return trailing(trees(leaves(df, entity, day, measures, key), entity, day, measures), entity, measures, periods)
+    """:func:`leaves`, :func:`trees` and :func:`trailing` in one call, with shards as long as the periods need."""
+    days = shard_days(periods)
+    return trailing(trees(leaves(df, entity, day, measures, key), entity, day, measures, days), entity, measures, periods, days)

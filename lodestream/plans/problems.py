@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions.clean import day, hour
+from lodestream.functions.clean import day, hour, once
 from lodestream.operators import balance, fill, spikes, trailing
 from lodestream.plans.registry import Registry, table
+from lodestream.scratch import written
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -152,7 +153,20 @@ def _trailing_sql() -> str:
 
 @add("p7_trailing", _trailing_sql())
 def p7_trailing(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _trailing(spark, folder, SUMS)
+    return _shown(_trailing(spark, folder, SUMS))
+
+
+@add("p7_corrected", _trailing_sql())
+def p7_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from trees of the rows that were there on the next day, corrected by the ones that came later."""
+    rows = once(table(spark, folder, "hourly_features").select("feature_id", "device_id", day().alias("_day"), "emitted_at", *SUMS), "feature_id")
+    rows = written(rows.withColumn("_late", F.coalesce(F.datediff("emitted_at", "_day") > 1, F.lit(False))), "rows")
+    part = lambda late: trailing.leaves(rows.where(F.col("_late") == late), "device_id", "_day", SUMS)
+    forest = written(trailing.trees(part(False), "device_id", "_day", SUMS), "forest")
+    return _shown(trailing.trailing(trailing.corrected(forest, part(True), "device_id", "_day", SUMS), "device_id", SUMS, [7, 30]))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
     # Rounded for the comparison with SQL; means are moved off the ties, which the order of summing would decide.
     shown = lambda c: F.round(c, 6) if "_total_" in c else F.round(F.col(c) + 1e-9, 6) if "mean_7" in c or "mean_30" in c else F.col(c)
     return rows.select(*[shown(c).alias(c) for c in rows.columns])
