@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.functions.clean import day, once
 from lodestream.functions.text import token_count
 from lodestream.llm import cutoffs, mixing, packing, quantiles, ranking, spans
+from lodestream.operators.ordered import small
 from lodestream.plans.registry import Registry, table
 from lodestream.scratch import written
 
@@ -83,6 +84,27 @@ def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("rank_error", F.ceil(F.col("readings") * ERROR))
 
 
+@add(
+    "p4_merged_ranks",
+    """WITH once AS (SELECT DISTINCT ON (feature_id) app_id, session_time, session_count FROM hourly_features),
+    long AS (SELECT 'session_time' AS field, app_id, session_time AS value FROM once WHERE session_time >= 0 AND isfinite(session_time) UNION ALL SELECT 'session_count', app_id, session_count FROM once WHERE session_count >= 0)
+    SELECT field, app_id, count(*) AS readings, """
+    + ", ".join(f"true AS {n}" for n in POINTS)
+    + " FROM long GROUP BY ALL",
+)
+def p4_merged_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each merged percentile has a rank within the stated error, counted over all readings."""
+    rows = written(_readings(spark, folder), "readings")
+    merged = quantiles.merged_quantiles(quantiles.summary(rows, ["field", "app_id", "day"], "value", ERROR), ["field", "app_id"], POINTS)
+    merged = small(written(merged.withColumnsRenamed({"field": "_f", "app_id": "_a", "readings": "_n"}), "merged"))
+    both = rows.join(merged, (F.col("field") == F.col("_f")) & F.col("app_id").eqNullSafe(F.col("_a")))
+    sides = [x for n in POINTS for x in (F.count(F.when(F.col("value") < F.col(n), 1)).alias(f"{n}_lo"), F.count(F.when(F.col("value") <= F.col(n), 1)).alias(f"{n}_hi"))]
+    ranks = both.groupBy("field", "app_id").agg(F.count("*").alias("readings"), F.max("_n").alias("_n"), *sides)
+    off = F.col("readings") * ERROR
+    within = [((F.col(f"{n}_lo") < F.ceil(F.col("readings") * q) + off) & (F.col(f"{n}_hi") > F.ceil(F.col("readings") * q) - off) & (F.col("_n") == F.col("readings"))).alias(n) for n, q in POINTS.items()]
+    return ranks.select("field", "app_id", "readings", *within)
+
+
 SCORES = ["SC_z_score_session_cnt", "SS_z_score_max", "ZB_z_score", "Severity_final"]
 
 
@@ -155,6 +177,19 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(_packed(spark, folder), _limit(spark, folder, "capacity_tokens"))
 
 
+@add(
+    "p8_pieces",
+    f"""WITH sizes AS (SELECT doc_id, coalesce({_TOKENS}, 0) AS n, {_CAPACITY} AS c FROM documents), parts AS (SELECT doc_id, n, c, greatest(1, CAST(ceil(n / c) AS INT)) AS pieces FROM sizes)
+    SELECT doc_id, CAST(piece AS INT) AS piece, CAST(pieces AS INT) AS pieces, CAST(CASE WHEN piece < pieces THEN c ELSE n - (pieces - 1) * c END AS INT) AS size, true AS fits FROM (SELECT *, unnest(range(1, pieces + 1)) AS piece FROM parts)""",
+)
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece once, and whether its container holds no more than its capacity."""
+    items = written(_packed(spark, folder), "items")
+    capacity = _limit(spark, folder, "capacity_tokens")
+    over = packing.containers(items, capacity).where("unused < 0").select("container", F.lit(False).alias("_fits"))
+    return items.join(over, "container", "left").select("doc_id", "piece", "pieces", "size", F.coalesce("_fits", F.lit(True)).alias("fits"))
+
+
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = table(spark, folder, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
     return mixing.mixed(sizes, table(spark, folder, "source_weights"), "doc_id", "source", "tokens")
@@ -176,6 +211,18 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[0]
 
 
+@add(
+    "p9_within",
+    f"""WITH own AS (SELECT nullif(lower(trim(source)), '') AS source, sum({_TOKENS}) AS tokens FROM documents WHERE source IS NOT NULL GROUP BY 1)
+    SELECT source, coalesce(tokens, 0) * max_repeats >= target_weight * (SELECT sum(tokens) FROM own) AS reachable, true AS within FROM source_weights LEFT JOIN own USING (source)""",
+)
+def p9_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Reachable sources are within the tolerance of their target share of the mixture, the others are used as often as they may."""
+    report = _mixed(spark, folder)[1]
+    near = F.abs(F.col("actual_share") - F.col("target_share")) <= F.col("tolerance")
+    return report.select("source", "reachable", F.when(F.col("reachable"), near).otherwise(F.col("size") == F.col("own") * F.col("max_repeats")).alias("within"))
+
+
 @add("p9_shares")
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
