@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestream.scratch import written
 from lodestream.session import tasks
@@ -20,13 +21,25 @@ PART, POS = "__lode_part", "__lode_pos"
 _LOCAL = (1 << 33) - 1
 
 
+#: The most that a checked side may hold to be broadcast.
+MOST_BYTES = 64 << 20
+
+
 def small(df: DataFrame, most: int = 100_000, weight: Column | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it is seen to have at most ``most`` rows; else as it is, for a shuffled join.
+    """``df`` marked for broadcast if it is seen to have at most ``most`` rows and MOST_BYTES; else as it is, for a shuffled join.
 
-    With ``weight``, its sum is held against ``most`` (rows that carry lists). The count runs first, so ``df`` should be cheap or written.
+    With ``weight``, its sum is held against ``most`` (rows that carry lists). Texts and lists count with their lengths, other columns with
+    eight bytes. The count runs first, so ``df`` should be cheap or written.
     """
-    size = df.limit(most + 1).count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= most else df
+    width = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            width += 8 * F.greatest(F.size(f.name), F.lit(0))
+    rows = df.limit(most + 1) if weight is None else df
+    seen = rows.agg((F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))).alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= most and seen["b"] <= MOST_BYTES else df
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

@@ -45,8 +45,11 @@ def char_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return V.frequent(_docs(spark, folder), "doc_id", X.characters(F.col("text")), 30_000)
 
 
-def _encoded(spark: SparkSession, folder: str) -> DataFrame:
-    return V.encoded(_docs(spark, folder), "doc_id", X.tokens(F.col("text")), word_vocab(spark, folder))
+def _encoded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as ids, and the vocabulary; tokens are made once."""
+    rows = written(_docs(spark, folder).select("doc_id", X.tokens(F.col("text")).alias("words")), "words")
+    known = written(V.frequent(rows, "doc_id", F.col("words"), SIZE), "vocabulary")
+    return V.encoded(rows, "doc_id", F.col("words"), known), known
 
 
 @add(
@@ -54,13 +57,14 @@ def _encoded(spark: SparkSession, folder: str) -> DataFrame:
     WORDS + " SELECT doc_id, '1 ' || string_agg(CAST(coalesce(id, 3) AS VARCHAR), ' ' ORDER BY p) || ' 2' AS ids FROM t LEFT JOIN v USING (token) GROUP BY doc_id",
 )
 def token_encode(spark: SparkSession, folder: str) -> DataFrame:
-    return _encoded(spark, folder).select("doc_id", F.array_join("ids", " ").alias("ids"))
+    return _encoded(spark, folder)[0].select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
 @add("token_decode", WORDS + ", w AS (SELECT doc_id, string_agg(token, ' ' ORDER BY p) AS tokens FROM t JOIN v USING (token) GROUP BY doc_id) SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN w USING (doc_id)")
 def token_decode(spark: SparkSession, folder: str) -> DataFrame:
     """Ids back to tokens; the unknown ones are gone."""
-    out = V.decoded(_encoded(spark, folder), "doc_id", "ids", word_vocab(spark, folder))
+    ids, known = _encoded(spark, folder)
+    out = V.decoded(ids, "doc_id", "ids", known)
     return out.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -73,7 +77,7 @@ def token_decode(spark: SparkSession, folder: str) -> DataFrame:
     SELECT x.w AS "window", x, y FROM x JOIN y USING (w) WHERE x.n = {LENGTH} AND y.n = {LENGTH}""",
 )
 def next_token_windows(spark: SparkSession, folder: str) -> DataFrame:
-    out = V.windows(_encoded(spark, folder), "doc_id", "ids", LENGTH)
+    out = V.windows(_encoded(spark, folder)[0], "doc_id", "ids", LENGTH)
     return out.select("window", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 

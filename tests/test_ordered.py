@@ -37,3 +37,16 @@ def test_interpolated_equals_numpy_over_many_partitions(spark):
 def test_small_marks_only_what_is_small(spark):
     plan = lambda most: spark.range(10).join(O.small(spark.range(50), most), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(50) and "broadcast" not in plan(49)
+
+
+def test_a_side_is_broadcast_only_if_few_and_narrow(spark, monkeypatch):
+    def broadcast(df, *a):
+        return "ResolvedHint (strategy=broadcast)" in O.small(df, *a)._jdf.queryExecution().analyzed().toString()
+
+    df = spark.range(100).withColumn("s", F.repeat(F.lit("x"), 50)).withColumn("l", F.array("id"))
+    assert broadcast(df) and not broadcast(df, 99) and broadcast(df, 100) and broadcast(df, 100, F.size("l")) and not broadcast(df, 99, F.size("l"))
+    assert broadcast(df.limit(0)) and broadcast(df.where("id < 0"), 10, F.size("l"))
+    monkeypatch.setattr(O, "MOST_BYTES", 100 * (3 * 8 + 50 + 8))
+    assert broadcast(df)
+    monkeypatch.setattr(O, "MOST_BYTES", 100 * (3 * 8 + 50 + 8) - 1)
+    assert not broadcast(df)
