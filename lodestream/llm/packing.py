@@ -141,20 +141,27 @@ def packed(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     for k in range(1, len(bounds) - 1):
         n, _, upper = classes.get(k, none)
         left, lower, stuck = within(k).withColumn("size", F.col("size").cast("long")), bounds[k + 1], False
+        many, power = _fits(upper)
         while n:
+            # A row a power of two: what gaps that hold so many documents of the class offer, how many they are, and their room; -2 holds none.
+            seen = gaps.groupBy(F.when(F.col("gap") > lower, power).otherwise(-2).alias("p")).agg(F.sum(many).alias("m"), F.count("*").alias("g"), F.sum("gap").alias("s")).collect()
+            free = sum(r["s"] for r in seen)
+            ahead, room = ahead - (room - free), free
+            offers = {r["p"]: (r["m"], r["g"]) for r in seen if r["p"] > -2}
             more = max(-(-(ahead - room) // capacity), -(-n // (capacity // upper)) if stuck else 0)
             if more > 0:
                 gaps = gaps.unionByName(spark.range(opened, opened + more).select(F.col("id").alias("container"), F.lit(capacity).cast("long").alias("gap")))
-                opened, room = opened + more, room + more * capacity
-            many, power = _fits(upper)
-            offers = sorted(gaps.where(F.col("gap") > lower).groupBy(power.alias("p")).agg(F.sum(many).alias("m"), F.count("*").alias("g")).collect())  # a row a power of two
+                opened, room, each = opened + more, room + more * capacity, capacity // upper
+                m, g = offers.get(each.bit_length() - 1, (0, 0))
+                offers[each.bit_length() - 1] = (m + more * each, g + more)
             if not offers:
                 stuck = True
                 continue
+            offers = sorted((p, m, g) for p, (m, g) in offers.items())
             want, last, share = n, 0, 1.0
-            for last, offered, many in offers:
+            for last, offered, holders in offers:
                 if last >= 0:  # smaller gaps all take part: what fits into them is seen in the sweep
-                    share = 1.0 if stuck else min(1.0, 1.1 * want / offered + 16 / many)
+                    share = 1.0 if stuck else min(1.0, 1.1 * want / offered + 16 / holders)
                     want -= offered
                     if want <= 0:
                         break
@@ -168,7 +175,7 @@ def packed(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
             rest = swept.where(F.col("_res").isNotNull())
             document = F.col("position").isNotNull()
             counts = rest.groupBy("_part").agg(F.count(F.when(document, 1)).alias("d"), F.count(F.when(~document, 1)).alias("p")).collect()  # a row a range
-            meets, many = _across(sorted(tuple(r) for r in counts))
+            meets, across = _across(sorted(tuple(r) for r in counts))
             inside = swept.where(document & F.col("_res").isNull())
             remaining = rest.where(document)
             open_documents = sum(r["d"] for r in counts)
@@ -185,10 +192,8 @@ def packed(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
             left = remaining.select(key, "piece", "pieces", "size", "position")
             ledger = gaps.unionByName(placed.select("container", (-F.col("size")).alias("gap")))
             gaps = written(ledger.groupBy("container").agg(F.sum("gap").alias("gap")).where("gap > 0"), "gaps")
-            free_room = gaps.agg(F.coalesce(F.sum("gap"), F.lit(0))).first()[0]
-            ahead, room = ahead - (room - free_room), free_room
             # A gap that took its one document has no room for a second of the class; only wider ones are worth another look.
-            n, stuck = open_documents - many, offers[-1]["p"] < 0 or n == open_documents - many
+            n, stuck = open_documents - across, offers[-1][0] < 0 or n == open_documents - across
             done.append(placed)
     out = done[0]
     for part in done[1:]:
