@@ -144,7 +144,17 @@ def oob_split(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.out_of_bag(sampling.bags(_rows(spark, folder).select("score_id"), "score_id", LEARNERS))
 
 
-@add("bag_sizes")
+def _draws_sql(most: int = 12) -> str:
+    """Draws from a Poisson of mean 1: how many of its first cumulative chances the hash reaches."""
+    u, p, total, steps = _U.format(seed=7, key="score_id || '_' || learner"), 0.36787944117144233, 0.0, []
+    for k in range(most):
+        total += p
+        steps.append(f"CASE WHEN u >= CAST({total!r} AS DOUBLE) THEN 1 ELSE 0 END")
+        p /= k + 1
+    return f"drawn AS (SELECT learner, {' + '.join(steps)} AS draws FROM (SELECT learner, {u} AS u FROM rows_, (SELECT unnest(range({LEARNERS})) AS learner)))"
+
+
+@add("bag_sizes", f"WITH {ROWS}, {_draws_sql()} SELECT CAST(learner AS INT) AS learner, count(*) AS rows, CAST(sum(draws) AS BIGINT) AS draws, count(CASE WHEN draws = 0 THEN 1 END) AS out_of_bag FROM drawn GROUP BY learner")
 def bag_sizes(spark: SparkSession, folder: str) -> DataFrame:
     bags = sampling.bags(_rows(spark, folder).select("score_id"), "score_id", LEARNERS)
     return bags.groupBy("learner").agg(F.count("*").alias("rows"), F.sum("draws").alias("draws"), F.count(F.when(F.col("draws") == 0, 1)).alias("out_of_bag"))

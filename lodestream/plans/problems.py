@@ -100,6 +100,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _flagged(spark, folder).where(F.col("reason").isNotNull()).select(F.col("id").alias("feature_id"), "field")
 
 
+@add(
+    "p6_reasons",
+    _P6.rpartition("SELECT feature_id, field FROM k")[0]
+    + "SELECT feature_id, field, v AS value, CAST(n AS BIGINT) AS run, CASE WHEN never THEN 'impossible' WHEN stuck THEN 'stuck' WHEN (v > 2 * hi AND v > hi + 10) OR (v < lo / 2 AND v < lo - 10) THEN 'spike' END AS reason FROM k LEFT JOIN m USING (device_id, field)",
+)
+def p6_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reading with its run and its reason, without the scores, which SQL cannot give."""
+    return _flagged(spark, folder).select(F.col("id").alias("feature_id"), "field", "value", "run", "reason")
+
+
 @add("p6_flagged")
 def p6_flagged(spark: SparkSession, folder: str) -> DataFrame:
     return _flagged(spark, folder).withColumnsRenamed({"id": "feature_id", "entity": "device_id"})

@@ -146,7 +146,12 @@ def text_reflow(spark: SparkSession, folder: str) -> DataFrame:
     return _clean(spark, folder).select("doc_id", X.reflowed(X.marked(F.col("text"))).alias("text"))
 
 
-@add("text_detokenize")
+@add(
+    "text_detokenize",
+    rf"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS p FROM documents), w AS (SELECT *, regexp_matches(token, '^[\p{{L}}\p{{N}}_]') AS word FROM t),
+    b AS (SELECT *, coalesce(word AND lag(word) OVER (PARTITION BY doc_id ORDER BY p), false) AS blank FROM w), j AS (SELECT doc_id, string_agg(CASE WHEN blank THEN ' ' ELSE '' END || token, '' ORDER BY p) AS text FROM b GROUP BY doc_id)
+    SELECT doc_id, coalesce(j.text, '') AS text FROM documents LEFT JOIN j USING (doc_id)""",
+)
 def text_detokenize(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", X.joined(X.tokens(F.col("text"))).alias("text"))
 
@@ -161,7 +166,20 @@ def merges(path: str = WORD_BPE) -> list[tuple[str, str]]:
     return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in found]
 
 
-@add("bpe_replay")
+def _replay_sql(path: str = WORD_BPE) -> str | None:
+    """The merges one by one, as replacements; none without the file."""
+    if not Path(path).exists():
+        return None
+    quoted = lambda *xs: "".join(f"chr(1) || '{x.replace(chr(39), chr(39) * 2)}' || chr(2) || " for x in xs) + "''"
+    out = "start"
+    for a, b in merges(path)[:200]:
+        out = f"replace({out}, {quoted(a, b)}, {quoted(a + b)})"
+    return f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS.replace("(text,", "(lower(text),")}) AS word FROM documents) GROUP BY word),
+    s AS (SELECT word, n, chr(1) || array_to_string(string_split(word, ''), chr(2) || chr(1)) || '</w>' || chr(2) AS start FROM w)
+    SELECT word, n, replace(substr(m, 2, length(m) - 2), chr(2) || chr(1), ' ') AS symbols FROM (SELECT word, n, {out} AS m FROM s)"""
+
+
+@add("bpe_replay", _replay_sql())
 def bpe_replay(spark: SparkSession, folder: str) -> DataFrame:
     """The first 200 merges of a public tokenizer replayed over the characters of each distinct word; the words are counted first, so each is merged once."""
     words = written(_docs(spark, folder).select(F.explode(X.tokens(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
