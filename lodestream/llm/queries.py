@@ -70,13 +70,30 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("field", "app_id", "day", "readings", *[F.round(F.col(n) + 1e-9, 5).alias(n) for n in POINTS])
 
 
-@add("p4_summaries")
+#: Each day's values with running counts; the kept ones, with the rows they stand for.
+_DAYS = f"""WITH once AS (SELECT DISTINCT ON (feature_id) app_id, CAST(replace(substr(trim(date), 1, 10), '/', '-') AS DATE) AS day, session_time, session_count FROM hourly_features),
+    long AS (SELECT 'session_time' AS field, app_id, day, session_time AS value FROM once WHERE session_time >= 0 AND isfinite(session_time)
+        UNION ALL SELECT 'session_count', app_id, day, session_count FROM once WHERE session_count >= 0),
+    c AS (SELECT field, app_id, day, value, count(*) AS n FROM long GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY field, app_id, day ORDER BY value) AS upto, sum(n) OVER (PARTITION BY field, app_id, day) AS total FROM c),
+    k AS (SELECT *, greatest(1, floor(total * {ERROR})) AS step FROM r),
+    days AS (SELECT field, app_id, day, value, CAST(CASE WHEN upto = total THEN total ELSE floor(upto / step) * step END - floor((upto - n) / step) * step AS BIGINT) AS weight FROM k
+        WHERE floor(upto / step) > floor((upto - n) / step) OR upto = total)"""
+
+
+@add("p4_summaries", _DAYS + " SELECT * FROM days")
 def p4_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """What is kept of each app's day, to be put together with other days or files."""
     return quantiles.summary(_readings(spark, folder), ["field", "app_id", "day"], "value", ERROR)
 
 
-@add("p4_merged")
+@add(
+    "p4_merged",
+    _DAYS + """, w AS (SELECT field, app_id, value, sum(weight) AS n FROM days GROUP BY ALL), u AS (SELECT *, sum(n) OVER (PARTITION BY field, app_id ORDER BY value) AS upto, sum(n) OVER (PARTITION BY field, app_id) AS total FROM w)
+    SELECT field, app_id, CAST(max(total) AS BIGINT) AS readings, """
+    + ", ".join(f"min(CASE WHEN upto >= ceil(total * CAST({q} AS DOUBLE)) THEN value END) AS {n}" for n, q in POINTS.items())
+    + f", CAST(ceil(max(total) * CAST({ERROR} AS DOUBLE)) AS BIGINT) AS rank_error FROM u GROUP BY field, app_id",
+)
 def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles per app over all days, from the summaries of its days, with the rank error that holds."""
     days = quantiles.summary(_readings(spark, folder), ["field", "app_id", "day"], "value", ERROR)
